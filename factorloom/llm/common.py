@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,17 +63,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_rows(df: DataFrame, row: Callable[..., tuple], schema: pa.Schema, spark_schema: str, flush: int = 2048) -> DataFrame:
-    """One output tuple for each input row, in Arrow batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns
-            for at in range(0, batch.num_rows, flush):
-                part = [c.slice(at, flush).to_pylist() for c in columns]
-                yield rows_to_batch([row(*values) for values in zip(*part, strict=True)], schema)
-
-    return df.mapInArrow(run, spark_schema)
+def text_blocks(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[tuple[list[int], list]]:
+    """(doc_ids, bodies) in blocks of at most `rows` rows and about `size` bytes; a longer text comes alone."""
+    for batch in batches:
+        ids, bodies = batch.column(0).to_pylist(), batch.column(1)
+        start, held = 0, 0
+        lengths = pc.binary_length(bodies).to_pylist()
+        for i, n in enumerate(lengths):
+            if i > start and (i - start >= rows or held + n > size):
+                yield ids[start:i], bodies.slice(start, i - start).to_pylist()
+                start, held = i, 0
+            held += n
+        if len(ids) > start:
+            yield ids[start:], bodies.slice(start).to_pylist()
 
 
 def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
