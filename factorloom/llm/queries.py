@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import simhash
+from factorloom.llm import bpe, flac, packing, quality, simhash
 from factorloom.llm.common import read_table
 from factorloom.session import ship
 
@@ -15,8 +15,23 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
     return lambda spark, sf_dir: op(read_table(ship(spark), sf_dir, "documents"))
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The public vocabulary file, from the installed package that names its place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(ship(spark), sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_pigeonhole": _over_documents(simhash.op3),
+    "op4_quality_fourier": op4,
+    "op6_tiered_packing": _over_documents(lambda docs: packing.pack(docs, vocabulary())),
+    "op8_flac_media": _over_documents(flac.op8),
+    "op9_bpe_transducer": _over_documents(lambda docs: bpe.round_trip(docs, vocabulary())),
 }
 
 ORACLES: dict[str, str] = {}
