@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, flac, packing, quality, simhash
+from factorloom.llm import bpe, flac, licenses, packing, pii, quality, simhash, suffixes, syncmers
 from factorloom.llm.common import read_table
 from factorloom.session import ship
 
@@ -27,11 +27,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_syncmer_fingerprints": _over_documents(syncmers.fingerprints),
+    "op2_suffix_array_dedup": _over_documents(suffixes.without_repeats),
     "op3_simhash_pigeonhole": _over_documents(simhash.op3),
     "op4_quality_fourier": op4,
     "op6_tiered_packing": _over_documents(lambda docs: packing.pack(docs, vocabulary())),
+    "op7_pii_field": _over_documents(pii.personal_data),
     "op8_flac_media": _over_documents(flac.op8),
     "op9_bpe_transducer": _over_documents(lambda docs: bpe.round_trip(docs, vocabulary())),
+    "op10_license_scan": _over_documents(lambda docs: licenses.scan(licenses.with_paths(docs))),
 }
 
 ORACLES: dict[str, str] = {}
