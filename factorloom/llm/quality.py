@@ -104,12 +104,11 @@ class Model:
         model = self
 
         @F.pandas_udf("double")
-        def scored(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+        def scored(texts):
             import pandas as pd
 
             return pd.Series(model.score(np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES))))
 
-        scored.func.__annotations__.clear()
         return scored(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorloom.llm import bpe, flac, licenses, packing, pii, quality, simhash, suffixes, syncmers
+from factorloom.llm import bpe, flac, licenses, packing, passages, pii, quality, simhash, suffixes, syncmers
 from factorloom.llm.common import read_table
 from factorloom.session import ship
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": _over_documents(suffixes.without_repeats),
     "op3_simhash_pigeonhole": _over_documents(simhash.op3),
     "op4_quality_fourier": op4,
+    "op5_compact_windows": _over_documents(passages.near_passages),
     "op6_tiered_packing": _over_documents(lambda docs: packing.pack(docs, vocabulary())),
     "op7_pii_field": _over_documents(pii.personal_data),
     "op8_flac_media": _over_documents(flac.op8),

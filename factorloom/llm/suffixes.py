@@ -124,10 +124,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, body): th tells apart different texts under one id; a null id is -1."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-1).cast("long")).alias("doc_id"), _short_hash(text).alias("th"), text.cast("binary").alias("body"))
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-1).cast("long")).alias("doc_id"), short_hash(text).alias("th"), text.cast("binary").alias("body"))
 
 
-def _short_hash(text: Column) -> Column:
+def short_hash(text: Column) -> Column:
     return (F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF))).cast("int")
 
 
@@ -328,11 +328,10 @@ def merged(ranges: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_repeats(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs with runs, the packed ranges of each row, or null."""
+def gathered(ranges: DataFrame) -> DataFrame:
+    """(doc_id, th, runs): the packed ranges of each document that has any."""
     packed = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-    gathered = ranges.distinct().groupBy("doc_id", "th").agg(F.collect_list(packed).alias("runs"))
-    return docs.join(gathered, ["doc_id", "th"], "left")
+    return ranges.distinct().groupBy("doc_id", "th").agg(F.collect_list(packed).alias("runs"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -360,4 +359,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows.append((doc_id, len(body), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
             yield rows_to_batch(rows, schema)
 
-    return with_repeats(bodies, repeats(bodies, scratch, batches)).select("doc_id", "runs", "body").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return bodies.join(gathered(repeats(bodies, scratch, batches)), ["doc_id", "th"], "left").select("doc_id", "runs", "body").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
