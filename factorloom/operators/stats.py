@@ -103,6 +103,11 @@ def formula_moments(df: DataFrame, formulas: list[str], columns: dict[str, Colum
     trees = [formula.parse(t) for t in formulas]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Huge values overflow their squares; such formulas are dropped by their reach later.
+        with np.errstate(all="ignore"):
+            yield from sums(batches)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(trees)
         s = {f: np.zeros(size) for f in _FIELDS}
         for batch in batches:

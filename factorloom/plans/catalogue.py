@@ -79,19 +79,27 @@ _SMALL = mine.Options(base_top_k=3, pair_top_k=12, beam_width=60, final_top_k=60
 _POOL = [t for t in order_one(list(LINE), ("square", "inv", "sqrt_abs"))]
 
 
+_BY_TREE = {formula.canonical(t): t for t in _POOL}
+
+
+def named(text: str) -> str:
+    """A mined formula as the list above writes it: the miner puts the better operand first."""
+    return _BY_TREE.get(formula.canonical(text), text)
+
+
 @query("mined_order1_pool", f"SELECT expression, score, signed FROM ({scores(_POOL, LINE, PRICE, 'lineitem')})")
 def mined_order1(spark, sf_dir):
     """The miner at order 1: values already met (abs of positive columns) and invalid ones drop out."""
     df, x = line(spark, sf_dir)
     found, _ = mine.mine(df, x, F.col(PRICE), line_key(), _SMALL)
-    return spark.createDataFrame([(c.expression, round(c.score, 6), round(c.signed, 6)) for c in found], "expression string, score double, signed double")
+    return spark.createDataFrame([(named(c.expression), round(c.score, 6), round(c.signed, 6)) for c in found], "expression string, score double, signed double")
 
 
 @query("mined_final_topk", f"SELECT expression, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, expression) AS k FROM ({scores(_POOL, LINE, PRICE, 'lineitem')})) WHERE k <= 8")
 def mined_topk(spark, sf_dir):
     df, x = line(spark, sf_dir)
     found, _ = mine.mine(df, x, F.col(PRICE), line_key(), _SMALL)
-    rows = sorted(((round(c.score, 6), c.expression) for c in found), key=lambda r: (-r[0], r[1]))[:8]
+    rows = sorted(((round(c.score, 6), named(c.expression)) for c in found), key=lambda r: (-r[0], r[1]))[:8]
     return spark.createDataFrame([(e, s) for s, e in rows], "expression string, score double")
 
 
@@ -143,7 +151,7 @@ def proposed(spark, sf_dir):
 
 def _factors(spark, sf_dir) -> list[dict]:
     df, x = line(spark, sf_dir)
-    return [c.row() for c in mine.mine(df, x, F.col(PRICE), line_key(), _SMALL)[0] if c.order > 0]
+    return [c.row() | {"expression": named(c.expression)} for c in mine.mine(df, x, F.col(PRICE), line_key(), _SMALL)[0] if c.order > 0]
 
 
 @query("pool_llm_authoritative", f"SELECT expression, score, expression <> '(d + t)' AS final_formula_allowed FROM ({scores(['(q * d)', '(d + t)'], LINE, PRICE, 'lineitem')})")
