@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from factorloom.llm.common import id_and_text, rows_to_batch, text_blocks
 
 #: Cached results of whole words and of neighbour checks; a full cache is emptied, so memory is bounded.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 CACHE_PAIRS = 400_000
 #: Longer words are encoded piecewise and not cached.
 LONG_WORD = 256
@@ -297,6 +297,23 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
+class LibraryEncoder(Encoder):
+    """The same texts to the same ids, with the tokenizers library's own model for new pre-tokens."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.characters = byte_characters()
+
+    def _learn(self, pieces: set[str]) -> None:
+        tokenize, characters = self.model.tokenize, self.characters
+        for piece in pieces:
+            mapped = piece if piece.isascii() else "".join([characters[b] for b in piece.encode()])
+            self.known[piece] = _packed([t.id for t in tokenize(mapped)])
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
@@ -345,6 +362,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@cache
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 def decode_pieces(merges: MergeList, ids: bytes, block: int = 65536) -> Iterator[str]:
     """The text of the ids in pieces of `block` ids."""
     values, machine = np.frombuffer(ids, "<u4"), Decoder(merges)

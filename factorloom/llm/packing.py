@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.bpe import encoder
+from factorloom.llm.bpe import library_encoder
 from factorloom.llm.common import Scratch, id_and_text, text_blocks
 
 #: Rests held by a task before it packs them, so that gaps find good fits.
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         out = Writer(task << 32, step_tokens)
-        packer, machine, tail = Packer(tiers, out.window), encoder(path), np.array([end_id], "<u4").tobytes()
+        packer, machine, tail = Packer(tiers, out.window), library_encoder(path), np.array([end_id], "<u4").tobytes()
         for doc_ids, texts in text_blocks(batches):
             for doc_id, encoded in zip(doc_ids, machine.encode_many(texts), strict=True):
                 ids = np.frombuffer(encoded + tail, "<u4")
