@@ -310,7 +310,7 @@ class LibraryEncoder(Encoder):
     def _learn(self, pieces: set[str]) -> None:
         tokenize, characters = self.model.tokenize, self.characters
         for piece in pieces:
-            mapped = piece if piece.isascii() else "".join([characters[b] for b in piece.encode()])
+            mapped = piece if piece.isascii() and piece.isprintable() else "".join([characters[b] for b in piece.encode()])
             self.known[piece] = _packed([t.id for t in tokenize(mapped)])
 
 
