@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 from factorloom.functions.numeric import to_double
 
 # Names that count as ids and prefixes that count as targets where the configuration has none.
-DEFAULT_IDS = ("sample_id", "id", "ID", "row_id", "index")
-DEFAULT_TARGET_PREFIXES = ("target_", "y_")
+DEFAULT_IDS = ("structure_id", "design_index", "id", "ID", "sample_id", "Sample", "Task")
+DEFAULT_TARGET_PREFIXES = ("Ads_", "N2_", "H2_", "Hydrogenation_", "NH3_")
 FILLS = ("median", "mean", "zero")
 SCALES = ("zscore", "none")
+#: Where a configuration file has each rule, by section; rules may also stand at the top under their own names.
+SECTIONS = {
+    "": {"targets": "target_columns"},
+    "target_rules": {"prefixes": "target_prefixes", "regex": "target_regex", "exclude": "exclude_targets"},
+    "feature_rules": {"include": "feature_columns", "regex": "feature_regex", "exclude": "exclude_columns", "exclude_regex": "exclude_regex", "numeric_only": "numeric_only"},
+    "missing": {"fill": "missing_policy", "add_indicators": "missing_indicators"},
+    "naming": {"safe_prefix": "feature_prefix", "max_length": "max_name_length"},
+}
 
 
 @dataclass(frozen=True)
@@ -52,7 +60,11 @@ class Grammar:
     def from_config(cls, config: dict[str, Any]) -> Grammar:
         known = {f.name: f for f in fields(cls)}
         values = {}
-        for key, value in config.items():
+        flat = dict(config)
+        for section, rules in SECTIONS.items():
+            inside = config.get(section, {}) if section else config
+            flat |= {name: inside[key] for key, name in rules.items() if key in inside}
+        for key, value in flat.items():
             if key in known:
                 values[key] = tuple([value] if isinstance(value, str) else value) if isinstance(known[key].default, tuple) else value
         return cls(**values)
@@ -75,7 +87,8 @@ class Workflow:
 
     @property
     def grammar(self) -> Grammar:
-        return Grammar.from_config(self.data.get("dataset", {}))
+        """The rules of 'dataset'; targets may also be listed beside it."""
+        return Grammar.from_config({"targets": self.data.get("targets", [])} | self.data.get("dataset", {}))
 
     def get(self, key: str, default: Any = None) -> Any:
         return self.data.get(key, default)

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from factorloom.operators import stats
 
 # The dimensions every rating has, each a whole number from 1 to 5.
-DIMENSIONS = ("physical_meaning", "structural_clarity", "variable_relevance", "explanatory_value")
-FORBIDDEN = ("method", "seed", "r2_test", "r2_val", "model", "score", "orig_index")
+DIMENSIONS = ("domain_meaning", "structural_plausibility", "readability_generalizability", "hypothesis_support")
+# Keys that a public item never has.
+FORBIDDEN = ("method", "method_name", "seed", "r2", "r2_test", "r2_val", "explanation", "llm_explanation")
 LOW, HIGH = 1, 5
 
 

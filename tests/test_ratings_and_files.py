@@ -32,14 +32,14 @@ def test_blind_export(tmp_path):
         ratings.export_blind([{"formula": "a", "variables": [{"method": "x"}]}])
 
 
-@pytest.mark.parametrize("bad", [answer("other"), {"item_id": "i"}, answer("i", extra=3), answer("i", structural_clarity=6), answer("i", structural_clarity=True), answer("i", structural_clarity=2.5), answer("i", structural_clarity="3"), []])
+@pytest.mark.parametrize("bad", [answer("other"), {"item_id": "i"}, answer("i", extra=3), answer("i", structural_plausibility=6), answer("i", structural_plausibility=True), answer("i", structural_plausibility=2.5), answer("i", structural_plausibility="3"), []])
 def test_strict_parsing(bad):
     with pytest.raises(ValueError):
         ratings.parse_rating(bad, "i")
 
 
 def test_whole_floats_pass():
-    assert ratings.parse_rating(answer("i", structural_clarity=4.0), "i")["structural_clarity"] == 4
+    assert ratings.parse_rating(answer("i", structural_plausibility=4.0), "i")["structural_plausibility"] == 4
 
 
 def test_judge_resumes_and_logs_errors(tmp_path):

@@ -177,3 +177,11 @@ def test_too_few_targets(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 2.0)], "id string, y double")
     with pytest.raises(ValueError):
         prep.finite_target(df, "y")
+
+
+def test_grammar_sections():
+    g = grammar.Grammar.from_config({"targets": ["y"], "id_columns": ["k"], "target_rules": {"exclude": ["t"]}, "feature_rules": {"exclude": "z", "numeric_only": False}, "missing": {"fill": "mean", "add_indicators": False}, "naming": {"safe_prefix": "f_", "max_length": 9}})
+    assert (g.target_columns, g.id_columns, g.exclude_targets, g.exclude_columns) == (("y",), ("k",), ("t",), ("z",))
+    assert (g.missing_policy, g.missing_indicators, g.numeric_only, g.feature_prefix, g.max_name_length) == ("mean", False, False, "f_", 9)
+    with pytest.raises(ValueError):
+        grammar.Grammar.from_config({"missing": {"fill": "mode"}})
