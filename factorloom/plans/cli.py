@@ -150,6 +150,9 @@ def build_union(args: Args) -> Any:
             names = [c for c in frame.columns if c not in ("row_id", "target", "role")]
             if s.get("best_result_path") and s.get("include_best", True):
                 frame = files.with_best_formula(frame, files.read_json(run.work.path(s["best_result_path"], t)), names)
+            if s.get("equations_path") and s.get("include_equations", True):
+                lazy = mine.snapshot_columns(files.snapshot_equations(run.work.path(s["equations_path"], t)), {n: F.col(n) for n in names}, int(s.get("top_equations", 5)), s["name"])
+                frame = frame.select("*", *(c.alias(n) for n, c in lazy.items()))
             tables.append((s["name"], frame.drop("role")))
         union = mine.build_union(tables, "row_id", "target")
         files.write_features(union.frame, union.manifest, run.place("union", t), args.csv)

@@ -146,6 +146,19 @@ def sorted_equations(df: DataFrame) -> DataFrame:
     return df.orderBy(order, "rank")
 
 
+def snapshot_equations(path: str | Path) -> list[str]:
+    """The equations of one snapshot file: by score if it has one, else by loss, else by complexity."""
+    import pandas as pd
+
+    rows = pd.read_csv(path, encoding="utf-8-sig")
+    rows.columns = [c.strip().lower() for c in rows.columns]
+    for key, up in (("score", False), ("loss", True), ("complexity", True)):
+        if key in rows.columns and rows[key].notna().any():
+            rows = rows.sort_values(key, ascending=up, kind="stable", na_position="last")
+            break
+    return rows["equation"].astype(str).tolist() if "equation" in rows.columns else []
+
+
 def raw_features_from_manifest(df: DataFrame, manifest: dict[str, Any], target: str | None = None) -> DataFrame:
     """Standardised features, indicators and the scaled target of an old manifest's statistics; not finite is 0."""
     s = manifest["statistics"]

@@ -105,6 +105,7 @@ def test_history(spark, tmp_path):
     (a / "best_result.json").write_text(json.dumps({"equation": "x + 1", "best_r2": 0.9}))
     (b / "best_result.json").write_text(json.dumps({"target": "other", "best_equation": "y", "best_r2": 0.7}))
     (a / "model_equations_snapshot.csv").write_text("﻿Equation,Loss,Score\nx + 1,0.5,2\nx * 2,0.1,3\n")
+    assert files.snapshot_equations(a / "model_equations_snapshot.csv") == ["x * 2", "x + 1"]
     rows = files.mine_expressions(spark, str(tmp_path / "runs")).orderBy("target", "rank").collect()
     assert [(r["target"], r["expression"], r["rank"]) for r in rows] == [("other", "y", 1), ("t1", "x + 1", 1), ("t1", "x * 2", 2)]
 
