@@ -192,7 +192,7 @@ def links(reps: DataFrame, scratch: Scratch, tau: int, words: int = 1, tau_all:
     its pairs. Rows of a larger group stream through and get longer keys for a further round, until the
     bits left are so few that distinct prints can't be many.
     """
-    names = [f"f{i}" for i in range(words)]
+    names, most = [f"f{i}" for i in range(words)], GROUP_ROWS
     total, both = bit_statistics(reps)
     if total < 2:
         return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
@@ -202,7 +202,7 @@ def links(reps: DataFrame, scratch: Scratch, tau: int, words: int = 1, tau_all:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int64()) for n in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, bounds, is_open, _ in sorted_runs(batches, ["mask", "key"], GROUP_ROWS):
+        for block, bounds, is_open, _ in sorted_runs(batches, ["mask", "key"], most):
             sizes = np.diff(bounds) if bounds[-1] == len(block["rep"]) else np.diff(np.append(bounds, len(block["rep"])))
             firsts = bounds[: len(sizes)]
             rows: list[tuple] = []

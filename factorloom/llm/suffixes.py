@@ -211,8 +211,28 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("a", pa.int32())
 FOUND_SPARK = "doc_id long, th int, a int, b int, window long, alone boolean"
 
 
+#: Anchor places in a window that share a key, for heads with many surroundings.
+PLACES = 17
+
+
+def _by_places(head: int, first: int, anchor: int, around: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(key, first, anchor, bytes) for each run of PLACES: all windows with the anchor at one of them share the key's bytes."""
+    after = len(around) - anchor
+    for low in range(0, BEFORE + 1, PLACES):
+        high = min(low + PLACES - 1, BEFORE)
+        if max(low, LENGTH - after) > min(high, anchor):
+            continue
+        core = around[anchor - low : anchor + LENGTH - high]
+        key = xxhash.xxh64_intdigest(core, (head * 16 + low) & 0xFFFFFFFFFFFFFFFF)
+        start = max(0, anchor - high)
+        yield key - (1 << 64) if key >> 63 else key, first + start, anchor - start, around[start : anchor + LENGTH - low]
+
+
 def _cut_out(asked: DataFrame) -> DataFrame:
-    """The bytes around the asked anchors of (doc_id, th, body, asked: [(position, head, alone)])."""
+    """The bytes around the asked anchors of (doc_id, th, body, asked: [(position, head, alone, many)]).
+
+    A head with many surroundings is divided: its rows get longer keys, by the places an anchor may have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, bodies in _blocks(batches):
@@ -220,7 +240,14 @@ def _cut_out(asked: DataFrame) -> DataFrame:
             for doc_id, th, asked, body in zip(columns["doc_id"], columns["th"], columns["asked"], bodies, strict=True):
                 for a in asked:
                     first = max(0, a["position"] - BEFORE)
-                    rows.append((a["head"], doc_id, th, first, a["position"] - first, a["alone"], body[first : a["position"] + LENGTH]))
+                    around, anchor = body[first : a["position"] + LENGTH], a["position"] - first
+                    if a["many"]:
+                        rows += [(key, doc_id, th, x, y, a["alone"], part) for key, x, y, part in _by_places(a["head"], first, anchor, around)]
+                    else:
+                        rows.append((a["head"], doc_id, th, first, anchor, a["alone"], around))
+                    if len(rows) >= 4096:
+                        yield rows_to_batch(rows, SURROUNDINGS)
+                        rows = []
             yield rows_to_batch(rows, SURROUNDINGS)
 
     return asked.select("doc_id", "th", "asked", "body").mapInArrow(run, SURROUNDINGS_SPARK)
@@ -248,9 +275,10 @@ def _windows(block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _compare(contexts: DataFrame) -> DataFrame:
     """Repeats among the surroundings of each head, for those that stand alone with theirs."""
+    most = GROUP_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, is_open, _ in sorted_runs(batches, ["head"], GROUP_ROWS):
+        for block, _, is_open, _ in sorted_runs(batches, ["head"], most):
             for part in _parts(block, is_open):
                 row, start, h = _windows(part)
                 alone, first = part["alone"].astype(bool), part["first"].astype(np.int64)
@@ -307,8 +335,8 @@ def repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) -> DataFr
     whole = shared.join(groups.where("n > 1").select("head", "around"), ["head", "around"], "left_semi")
     first = F.greatest(F.lit(0), F.col("position") - BEFORE)
     covered = whole.select("doc_id", "th", first.cast("int").alias("a"), (F.col("position") + F.col("after")).cast("int").alias("b")).where(F.col("b") - F.col("a") >= LENGTH)
-    many = groups.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("head")
-    asked = groups.join(many, "head").select("one.doc_id", "one.th", F.struct(F.col("one.position").alias("position"), "head", (F.col("n") == 1).alias("alone")).alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("asked"))
+    many = groups.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("head", (F.col("kinds") > GROUP_ROWS).alias("many"))
+    asked = groups.join(many, "head").select("one.doc_id", "one.th", F.struct(F.col("one.position").alias("position"), "head", (F.col("n") == 1).alias("alone"), "many").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("asked"))
     # Surroundings on repeated rows are cut out for each; they don't stand alone, so that changes nothing.
     found = scratch.write(_compare(_cut_out(docs.join(asked, ["doc_id", "th"]))), "found")
     counted = found.where("window is not null")
