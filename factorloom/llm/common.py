@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,11 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of tables that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
