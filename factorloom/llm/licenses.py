@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.llm.common import Scratch
+
 #: A header's least cosine to a template.
 LEAST = 0.5
 # The usual short notices of public licences.
@@ -47,10 +49,10 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(fid, unit): the header lines of files(fid, path, text), and the whole of files named like a licence."""
+    """(fid, u, unit): the header lines of files(fid, path, text), and the whole of files named like a licence; u is their digest."""
     lines = F.filter(F.split("text", "\r?\n"), lambda x: F.lower(x).rlike(KEYS))
     whole = F.when(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & (F.col("text") != ""), F.array("text")).otherwise(F.array().cast("array<string>"))
-    return files.where(F.lower("text").rlike(KEYS)).select("fid", F.explode(F.array_distinct(F.concat(lines, whole))).alias("unit"))
+    return files.where(F.lower("text").rlike(KEYS)).select("fid", F.explode(F.array_distinct(F.concat(lines, whole))).alias("unit")).withColumn("u", F.md5(F.col("unit").cast("binary")))
 
 
 def _weighted(units: DataFrame, key: str, idf: DataFrame) -> DataFrame:
@@ -62,25 +64,25 @@ def _weighted(units: DataFrame, key: str, idf: DataFrame) -> DataFrame:
 
 
 def classify(found: DataFrame) -> DataFrame:
-    """(unit, license, cosine): the nearest template of each distinct header, if at least LEAST.
+    """(u, license, cosine): the nearest template of each distinct header of found(u, unit), if at least LEAST.
 
     Inverse document frequencies count all headers of the corpus, repeats included, and the templates.
     Ties go to the first name.
     """
     spark = found.sparkSession
     known = templates(spark)
-    units = found.groupBy("unit").agg(F.count(F.lit(1)).alias("files"))
-    every = units.unionByName(known.select("unit", F.lit(1).cast("long").alias("files")))
+    units = found.groupBy("u").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("files"))
+    every = units.select("unit", "files").unionByName(known.select("unit", F.lit(1).cast("long").alias("files")))
     total = every.agg(F.sum("files").alias("total"))
     df = every.select("files", F.explode(F.array_distinct(terms(F.col("unit")))).alias("term")).groupBy("term").agg(F.sum("files").alias("df"))
     # A single row of one number is joined to the terms.
     idf = df.join(F.broadcast(total), F.lit(True)).select("term", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    a = _weighted(units, "unit", idf)
+    a = _weighted(units, "u", idf)
     b = _weighted(known, "license", idf).withColumnRenamed("w", "v")
     # The templates are a fixed list of a few hundred terms.
-    cosine = a.join(F.broadcast(b), "term").groupBy("unit", "license").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).where(F.col("cosine") >= LEAST)
-    best = cosine.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
-    return best.select("unit", "best.license", (-F.col("best.less")).alias("cosine"))
+    cosine = a.join(F.broadcast(b), "term").groupBy("u", "license").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).where(F.col("cosine") >= LEAST)
+    best = cosine.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
+    return best.select("u", "best.license", (-F.col("best.less")).alias("cosine"))
 
 
 def _parent(path: Column) -> Column:
@@ -97,8 +99,10 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     """
     rows = files.select(files[id_col].cast("long").alias("doc_id"), F.coalesce(files[path_col], F.lit("")).alias("path"), F.coalesce(files[text_col].cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("fid", F.struct("doc_id", "path", F.xxhash64("text").alias("h")))
-    found = headers(rows.select("fid", "path", "text")).distinct()
-    own = found.join(classify(found), "unit").groupBy("fid").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
+    # Few files have headers; both small tables are read several times.
+    scratch = Scratch(files.sparkSession, "licenses")
+    found = scratch.write(headers(rows.select("fid", "path", "text")), "headers")
+    own = found.select("fid", "u").join(scratch.write(classify(found), "nearest"), "u").groupBy("fid").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
     own = own.select("fid", F.col("best.license").alias("license"), (-F.col("best.less")).alias("cosine"))
     named = own.where(F.element_at(F.split("fid.path", "/"), -1).rlike(LICENCE_FILE)).withColumn("dir", _parent(F.col("fid.path")))
     dirs = named.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("fid.path").alias("path"), "license")).alias("best")).select("dir", F.col("best.license").alias("dir_license"))
