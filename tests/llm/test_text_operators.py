@@ -273,6 +273,24 @@ def test_near_passages(spark):
     assert one[8]["spans"] == "0:100" and one[8]["class_id"] == 8
 
 
+def test_passages_around_a_frequent_line(spark):
+    rng = random.Random(21)
+
+    def fresh(n):
+        return ["w" + format(rng.getrandbits(40), "x") for _ in range(n)]
+
+    line = fresh(30)
+    texts = [fresh(40) + line + fresh(40) for _ in range(300)]
+    for i in range(20):
+        passage = fresh(15) + line + fresh(15)
+        texts += [fresh(30) + passage + fresh(30), fresh(50) + passage + fresh(20)]
+    got = by_id(passages.near_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")))
+    assert all(got[i]["spans"] == "" and got[i]["n_links"] == 0 for i in range(300))
+    for i in range(300, 340, 2):
+        assert (got[i]["spans"], got[i + 1]["spans"]) == ("30:90", "50:110")
+        assert got[i]["class_id"] == got[i + 1]["class_id"] == i and got[i]["n_links"] == got[i + 1]["n_links"] == 1
+
+
 # --- BPE, packing ---
 
 
