@@ -291,6 +291,21 @@ def test_passages_around_a_frequent_line(spark):
         assert got[i]["class_id"] == got[i + 1]["class_id"] == i and got[i]["n_links"] == got[i + 1]["n_links"] == 1
 
 
+def test_words_inserted_on_either_side(spark):
+    rng = random.Random(12)
+
+    def fresh(n):
+        return ["w" + format(rng.getrandbits(40), "x") for _ in range(n)]
+
+    texts = []
+    for i in range(12):
+        passage, (n, k) = fresh(80), ((64, 5), (54, 3), (70, 6))[i % 3]
+        texts += [passage[:n], passage[: n // 2] + fresh(k) + passage[n // 2 : n]]
+    got = by_id(passages.near_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        assert got[i]["spans"] == f"0:{len(t)}" and got[i]["class_id"] == i // 2 * 2
+
+
 # --- BPE, packing ---
 
 
