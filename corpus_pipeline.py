@@ -18,9 +18,8 @@ from factorloom.llm.queries import vocabulary
 from factorloom.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near-duplicates on five-word shingles: at most so many of 64 bits to become a candidate, and of 256 bits
-#: to be verified. A Jaccard similarity of 0.8 between sets turns 15 % of SimHash bits on average.
-CANDIDATE_BITS, VERIFY_BITS = 6, 38
+#: The least Jaccard similarity of near-duplicates, on sets of five-word shingles.
+SIMILAR = 0.8
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Words are compared in runs of five. Documents without words are equal to each other.
     """
     ship(spark)
-    found = simhash.near_duplicates(docs, width=5, tau=CANDIDATE_BITS, words=4, tau_all=VERIFY_BITS)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    scratch = Scratch(spark, "near")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("key"), F.xxhash64(text).alias("uid"), text.cast("binary").alias("body"))
+    classes = simhash.similar_texts(rows, scratch, SIMILAR)
+    named = rows.select("key", "uid").join(classes, F.col("uid") == F.col("id"), "left").withColumn("class", F.coalesce("component", "uid"))
+    first = named.groupBy("class").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 

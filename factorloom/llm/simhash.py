@@ -19,12 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import Scratch, components, id_and_text, rows_to_batch, shuffle_width, signed, sorted_runs
+from factorloom.llm.common import Scratch, components, id_and_text, rows_to_batch, shuffle_width, signed, sorted_runs, text_blocks
 
 BITS = 64
 ALL = (1 << BITS) - 1
 #: Rows of one key that are compared in memory; the rows of larger groups get longer keys instead.
 GROUP_ROWS = 4096
+#: Candidates by min-hashes: a key is shared by 0.9996 of pairs with similarity 0.8, as 1 - (1 - 0.8 ** 5) ** 20.
+BANDS, BAND_ROWS = 20, 5
+#: Texts of a block, and of 256 bits the most that pairs to be compared differ in: 38 is the mean at 0.8, 128 that of unlike ones.
+BLOCK, FAR_BITS = 1024, 80
 #: A probe's cost in comparisons: a row shuffled and sorted.
 PROBE_COST = 60.0
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -252,6 +256,111 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2, words: int =
     return prints.join(named, names).select("doc_id", *names, "component_id")
 
 
+def candidate_keys(docs: DataFrame, width: int) -> DataFrame:
+    """(uid, f0 .. f3, keys) of rows(uid, body): four fingerprint words, and BANDS keys of BAND_ROWS min-hashes each."""
+    names = [f"f{i}" for i in range(4)]
+    schema = pa.schema([("uid", pa.int64()), *((n, pa.int64()) for n in names), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.random.default_rng(7).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        for ids, bodies in text_blocks(batches):
+            table = np.array([fingerprint(t, width, 4) for t in bodies], np.uint64).reshape(-1, 4)
+            keys = np.zeros((len(bodies), BANDS), np.uint64)
+            for i, t in enumerate(bodies):
+                hashes = shingle_hashes(t, width)
+                hashes ^= hashes >> np.uint64(32)
+                least = np.zeros(len(odd), np.uint64)
+                for k in range(len(odd) if len(hashes) else 0):
+                    least[k] = (hashes * odd[k]).min()
+                for r in range(BAND_ROWS):
+                    keys[i] = (keys[i] ^ least[r::BAND_ROWS]) * np.uint64(_MORE[0])
+                    keys[i] ^= keys[i] >> np.uint64(31)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(signed(table[:, i])) for i in range(4)), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))], schema=schema)
+
+    return docs.select("uid", "body").mapInArrow(run, "uid long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones: 1."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return shared / (len(a) + len(b) - shared)
+
+
+def similar_forest(prints: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph of sets with a Jaccard similarity of at least `least`."""
+    waiting, edges, sizes = np.arange(len(sets)), [], np.array([len(s) for s in sets])
+    while len(waiting) > 1:
+        front, waiting = [int(waiting[0])], waiting[1:]
+        while front and len(waiting):
+            at = front.pop()
+            apart = np.bitwise_count(prints[waiting] ^ prints[at]).sum(axis=1, dtype=np.int64)
+            small, large = np.minimum(sizes[waiting], sizes[at]), np.maximum(sizes[waiting], sizes[at])
+            near = (apart <= FAR_BITS) & (small >= least * large)
+            for i in np.flatnonzero(near).tolist():
+                near[i] = jaccard(sets[at], sets[waiting[i]]) >= least
+            found = waiting[near].tolist()
+            edges += [(at, x) for x in found]
+            front += found
+            waiting = waiting[~near]
+    return edges
+
+
+def similar_texts(rows: DataFrame, scratch: Scratch, least: float, width: int = 5, tau: int = 6) -> DataFrame:
+    """(id, component) of texts of rows(key, uid, body) that pairs with a Jaccard similarity of at least `least` connect.
+
+    uid stands for the text. Candidates share a class by fingerprints within tau bits or by a key of
+    min-hashes; in a class all pairs are compared, by their sets of runs of `width` words. A class of over
+    BLOCK texts is dealt into blocks, and each two blocks meet in a group of their own.
+    """
+    names = [f"f{i}" for i in range(4)]
+    firsts = scratch.write(rows.groupBy("uid").agg(F.min("key").alias("key")), "firsts")
+    prints = scratch.write(candidate_keys(rows, width).dropDuplicates(["uid"]), "prints")
+    keyed = prints.select("uid", F.posexplode("keys").alias("band", "value"))
+    heads = keyed.groupBy("band", "value").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    by_band = keyed.join(heads, ["band", "value"]).select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
+    reps = scratch.write(prints.groupBy("f0").agg(F.min("uid").alias("rep")), "reps")
+    by_print = prints.join(reps, "f0").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    loose = components(by_band.unionByName(by_print).unionByName(links(reps, scratch, tau)).where("a <> b"), scratch)
+    blocks = loose.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = loose.join(blocks, "component").select(F.col("id").alias("uid"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
+    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine")))
+    cell = F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")
+    asked = dealt.select("uid", "component", "blocks", "mine", F.explode(cells).alias("other")).withColumn("cell", cell).groupBy("uid", "component").agg(F.collect_list("cell").alias("cells"))
+    part = pa.schema([("component", pa.int64()), ("cell", pa.int64()), ("uid", pa.int64()), *((n, pa.int64()) for n in names), ("runs", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                runs = np.unique(shingle_hashes(at["body"][i].as_py(), width)).tobytes()
+                fixed = [at[n][i].as_py() for n in ("uid", *names)]
+                yield rows_to_batch([(at["component"][i].as_py(), c, *fixed, runs) for c in at["cells"][i].as_py()], part)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        held: list[dict[str, np.ndarray]] = []
+        for block, bounds, is_open, goes_on in sorted_runs(batches, ["component", "cell"], 4 * BLOCK):
+            held.append(block)
+            if is_open and goes_on:
+                continue
+            block = {n: np.concatenate([x[n] for x in held]) for n in block} if len(held) > 1 else block
+            edges = np.append(bounds[bounds < len(block["uid"])], len(block["uid"])) if len(held) == 1 else np.array([0, len(block["uid"])])
+            held, out = [], []
+            table = np.stack([block[n] for n in names], axis=1).view(np.uint64)
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                sets = [np.frombuffer(r, np.uint64) for r in block["runs"][x:y]]
+                out += [(int(block["uid"][x + a]), int(block["uid"][x + b])) for a, b in similar_forest(table[x:y], sets, least)]
+            if out:
+                yield rows_to_batch(out, schema)
+
+    whole = rows.join(asked.join(firsts, "uid").join(prints.select("uid", *names), "uid"), ["uid", "key"]).dropDuplicates(["uid"])
+    parts = whole.select("uid", "component", "cells", *names, "body").mapInArrow(cut, "component long, cell long, uid long, f0 long, f1 long, f2 long, f3 long, runs binary")
+    found = parts.repartition(shuffle_width(rows.sparkSession), "component", "cell").sortWithinPartitions("component", "cell", "uid").mapInArrow(compare, "a long, b long")
+    return components(scratch.write(found, "similar"), scratch)
+
+
 def op3(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")

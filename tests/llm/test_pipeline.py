@@ -57,6 +57,28 @@ def test_stages(spark, place):
     assert {r["doc_id"] for r in pieces.collect()} == left
 
 
+def runs_of(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_just_above_and_below(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        words = [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(150)]
+        # Three or four changed words: a similarity of 0.81 or 0.76.
+        other = list(words)
+        for at in range(20, 140 if i % 2 else 110, 30):
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    likeness = [len(runs_of(rows[j][1]) & runs_of(rows[j + 1][1])) / len(runs_of(rows[j][1]) | runs_of(rows[j + 1][1])) for j in range(0, 120, 2)]
+    assert min(likeness[::2]) >= 0.8 > max(likeness[1::2])
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in pipeline.one_of_each(spark, df, "").collect()}
+    assert kept == set(range(0, 120, 2)) | {2 * i + 1 for i in range(1, 60, 2)}
+
+
 def test_whole_run(spark, place):
     path, _, _ = place
     rows = pipeline.run(spark, path).collect()
