@@ -170,17 +170,14 @@ def _as_long(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def link_forest(prints: np.ndarray, tau: int, tau_all: int | None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of rows within tau bits (and tau_all over all words)."""
+def link_forest(prints: np.ndarray, tau: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph of prints within tau bits."""
     waiting, edges = np.arange(len(prints)), []
     while len(waiting) > 1:
         front, waiting = [int(waiting[0])], waiting[1:]
         while front and len(waiting):
             at = front.pop()
-            apart = np.bitwise_count(prints[waiting] ^ prints[at])
-            near = apart[:, 0] <= tau
-            if tau_all is not None:
-                near &= apart.sum(axis=1, dtype=np.int64) <= tau_all
+            near = np.bitwise_count(prints[waiting] ^ prints[at]) <= tau
             if near.any():
                 found = waiting[near]
                 edges += [(at, int(x)) for x in found]
@@ -189,14 +186,14 @@ def link_forest(prints: np.ndarray, tau: int, tau_all: int | None) -> list[tuple
     return edges
 
 
-def links(reps: DataFrame, scratch: Scratch, tau: int, words: int = 1, tau_all: int | None = None) -> DataFrame:
-    """(a, b): edges that connect just what the pairs of reps(rep, f0 ..) within tau bits connect.
+def links(reps: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
+    """(a, b): edges that connect just what the pairs of reps(rep, f0), each f0 once, within tau bits connect.
 
     A key's group of up to GROUP_ROWS rows is compared in memory, and a spanning forest stands for all
     its pairs. Rows of a larger group stream through and get longer keys for a further round, until the
     bits left are so few that distinct prints can't be many.
     """
-    names, most = [f"f{i}" for i in range(words)], GROUP_ROWS
+    names, most = ["f0"], GROUP_ROWS
     total, both = bit_statistics(reps)
     if total < 2:
         return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
@@ -210,18 +207,18 @@ def links(reps: DataFrame, scratch: Scratch, tau: int, words: int = 1, tau_all:
             sizes = np.diff(bounds) if bounds[-1] == len(block["rep"]) else np.diff(np.append(bounds, len(block["rep"])))
             firsts = bounds[: len(sizes)]
             rows: list[tuple] = []
-            table = np.stack([block[n] for n in names], axis=1).view(np.uint64)
+            table = block["f0"].view(np.uint64)
             for i in np.flatnonzero(sizes > 1) if not is_open else range(len(sizes)):
                 lo, hi = int(firsts[i]), int(firsts[i] + sizes[i])
                 mask = int(block["mask"][lo]) & ALL
                 if is_open and BITS - mask.bit_count() > 12:
                     for longer in _longer_masks(mask, tau):
-                        keys = signed(table[lo:hi, 0] & np.uint64(longer))
+                        keys = signed(table[lo:hi] & np.uint64(longer))
                         n = hi - lo
                         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, _as_long(longer))), pa.array(keys), pa.array(block["rep"][lo:hi]), *(pa.array(block[x][lo:hi]) for x in names)], schema=schema)
                     continue
                 rep = block["rep"]
-                rows += [(int(rep[lo + a]), int(rep[lo + b]), *([None] * len(fields))) for a, b in link_forest(table[lo:hi], tau, tau_all)]
+                rows += [(int(rep[lo + a]), int(rep[lo + b]), *([None] * len(fields))) for a, b in link_forest(table[lo:hi], tau)]
             if rows:
                 yield rows_to_batch(rows, schema)
 
@@ -238,22 +235,20 @@ def links(reps: DataFrame, scratch: Scratch, tau: int, words: int = 1, tau_all:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2, words: int = 1, tau_all: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f0, component_id) for every row: component_id is the least doc_id reachable over links.
 
-    Documents link if their first fingerprint words differ in at most tau bits (and all words together
-    in at most tau_all, if given). Equal fingerprints are one node, so copies cost one row however many
+    Documents link if their fingerprints differ in at most tau bits. Equal fingerprints are one node, so copies cost one row however many
     they are. Null and empty texts have fingerprint 0 and link like others; repeated rows keep one
     output row each; an empty table gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    names = [f"f{i}" for i in range(words)]
-    prints = scratch.write(fingerprints(docs, width, words, id_col, text_col), "prints")
-    reps = scratch.write(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "reps")
-    classes = components(links(reps, scratch, tau, words, tau_all), scratch)
-    named = reps.join(classes, reps["rep"] == classes["id"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, names).select("doc_id", *names, "component_id")
+    prints = scratch.write(fingerprints(docs, width, 1, id_col, text_col), "prints")
+    reps = scratch.write(prints.groupBy("f0").agg(F.min("doc_id").alias("rep")), "reps")
+    classes = components(links(reps, scratch, tau), scratch)
+    named = reps.join(classes, reps["rep"] == classes["id"], "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "f0").select("doc_id", "f0", "component_id")
 
 
 def candidate_keys(docs: DataFrame, width: int) -> DataFrame:

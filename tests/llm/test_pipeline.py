@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline as pipeline
-from factorloom.llm import pii, quality
+from factorloom.llm import pii, quality, simhash
 
 WORDS = "alder birch cedar dogwood elm fir gum hazel ivy juniper kapok larch maple nutmeg oak pine quince rowan spruce teak".split()
 
@@ -79,6 +79,29 @@ def test_near_duplicates_just_above_and_below(spark):
     assert kept == set(range(0, 120, 2)) | {2 * i + 1 for i in range(1, 60, 2)}
 
 
+def test_a_family_of_like_texts_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    rng = random.Random(9)
+
+    def fresh(n):
+        return [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n)]
+
+    family, rows = fresh(200), []
+    for i in range(70):
+        own = fresh(45)
+        # The template is most of each text; only the two texts with one ending are alike enough.
+        rows += [(2 * i, " ".join(family + own)), (2 * i + 1, " ".join(family + own + fresh(3)))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        kept = {r["doc_id"] for r in pipeline.one_of_each(spark, df, "").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(runs_of(rows[0][1]) & runs_of(rows[2][1])) < 0.8 * len(runs_of(rows[0][1]) | runs_of(rows[2][1]))
+    assert kept == set(range(0, 140, 2))
+
+
 def test_whole_run(spark, place):
     path, _, _ = place
     rows = pipeline.run(spark, path).collect()
