@@ -29,18 +29,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id.
+    """One document of each group of near-duplicates: that with the least id, then the least hash of its text.
 
-    Words are compared in runs of five. Documents without words are equal to each other.
+    A null id counts as -1, and rows of one id with different texts are documents of their own. Words are compared in runs of five. Documents without words are equal to each other.
     """
     ship(spark)
     scratch = Scratch(spark, "near")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").alias("key"), F.xxhash64(text).alias("uid"), text.cast("binary").alias("body"))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-1)).cast("long")).withColumn("uid", F.xxhash64(text))
+    rows = docs.select("key", "uid", text.cast("binary").alias("body"))
     classes = simhash.similar_texts(rows, scratch, SIMILAR)
     named = rows.select("key", "uid").join(classes, F.col("uid") == F.col("id"), "left").withColumn("class", F.coalesce("component", "uid"))
-    first = named.groupBy("class").agg(F.min("key").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    first = named.groupBy("class").agg(F.min(F.struct("key", "uid")).alias("kept")).select("kept.*")
+    return docs.join(first, ["key", "uid"], "left_semi").dropDuplicates(["key", "uid"]).select(*COLUMNS)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,15 @@ def test_a_family_of_like_texts_in_many_blocks(spark, monkeypatch):
     assert kept == set(range(0, 140, 2))
 
 
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[3]), (2, texts[4]), (7, texts[4]), (7, texts[5])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.one_of_each(spark, df, "").collect()), key=str)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (2, texts[4]), (7, texts[5])], key=str)
+
+
 def test_whole_run(spark, place):
     path, _, _ = place
     rows = pipeline.run(spark, path).collect()
