@@ -3,7 +3,8 @@
 A run of K words is an anchor if the least of its S-word parts lies at its start or its end. Whether a
 run is an anchor depends on nothing around it, so equal passages have equal anchors wherever they
 stand. A fingerprint is a bottom sketch of a document's anchors; likeness is the sketches' estimate of
-the anchors' Jaccard similarity, which is exact below SKETCH anchors.
+the anchors' Jaccard similarity, which is exact below SKETCH anchors. Where a text has no anchor, all
+its runs count.
 """
 
 from __future__ import annotations
@@ -39,18 +40,25 @@ def word_codes(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w)))
 
 
+def _run_at(codes: Column, i: Column) -> Column:
+    return _short(F.xxhash64(*(F.get(codes, i + j) for j in range(K))))
+
+
 def _anchor_at(codes: Column, parts: Column, i: Column) -> Column:
     """The hash of the run at word i if it is a closed syncmer, else null."""
     last = K - S
     inner = F.least(*(F.get(parts, i + j) for j in range(1, last)))
     edge = F.least(F.get(parts, i), F.get(parts, i + last))
-    return F.when(edge <= inner, _short(F.xxhash64(*(F.get(codes, i + j) for j in range(K)))))
+    return F.when(edge <= inner, _run_at(codes, i))
 
 
-def _over_runs(codes: Column, entry: Callable[[Column, Column], Column]) -> Column:
+def _over_runs(codes: Column, entry: Callable[[Column, Column], Column], every: Callable[[Column], Column]) -> Column:
+    """What entry gives for the runs that are anchors, or every for all runs if none is."""
     n = F.size(codes)
     parts = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
-    return let(parts, lambda p: F.filter(F.transform(F.sequence(F.lit(0), n - K), lambda i: entry(p, i)), lambda x: x.isNotNull()))
+    runs = F.sequence(F.lit(0), n - K)
+    found = let(parts, lambda p: F.filter(F.transform(runs, lambda i: entry(p, i)), lambda x: x.isNotNull()))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.transform(runs, every)))
 
 
 def anchors(text: Column) -> Column:
@@ -61,8 +69,11 @@ def anchors(text: Column) -> Column:
             found = _anchor_at(codes, parts, i)
             return F.when(found.isNotNull(), F.struct(i.cast("int").alias("position"), found.alias("hash")))
 
+        def every(i: Column) -> Column:
+            return F.struct(i.cast("int").alias("position"), _run_at(codes, i).alias("hash"))
+
         words = F.transform(codes, lambda c, i: F.struct(i.cast("int").alias("position"), _short(c).alias("hash")))
-        return F.when(F.size(codes) < K, words).otherwise(_over_runs(codes, entry))
+        return F.when(F.size(codes) < K, words).otherwise(_over_runs(codes, entry, every))
 
     return let(word_codes(text), body)
 
@@ -71,7 +82,7 @@ def sketch(text: Column) -> Column:
     """The SKETCH least distinct anchor hashes, sorted."""
 
     def body(codes: Column) -> Column:
-        hashes = F.when(F.size(codes) < K, F.transform(codes, _short)).otherwise(_over_runs(codes, lambda parts, i: _anchor_at(codes, parts, i)))
+        hashes = F.when(F.size(codes) < K, F.transform(codes, _short)).otherwise(_over_runs(codes, lambda parts, i: _anchor_at(codes, parts, i), lambda i: _run_at(codes, i)))
         return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
 
     return let(word_codes(text), body)

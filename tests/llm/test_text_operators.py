@@ -92,6 +92,14 @@ def test_fingerprints(docs, body):
     assert np.mean([got[d]["near_edited"] for d in long_ones]) > 0.3
 
 
+def test_short_texts_have_fingerprints(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i % 2))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = syncmers.fingerprints(df).collect()
+    assert len(got) == 40 and all(r["fingerprint"] != "" and r["near_next"] == 0 for r in got)
+    assert all(r["a"] for r in df.select(syncmers.anchors(F.col("text")).alias("a")).collect())
+
+
 def test_anchors_depend_on_their_run_alone(spark, texts):
     passage = texts[13]
     df = spark.createDataFrame([(passage,), ("some other words here before " + passage + " and after it",)], "t string")
