@@ -3,8 +3,9 @@
 BPE has two properties that make streaming exact: the encoding of a prefix ends in one token that does
 not depend on what follows, and a row of tokens is an encoding just if each token and each pair of
 neighbours is one by itself. So the transducer keeps, for each of the last few positions, the token
-that ends the prefix there. Tokens that all of these chains share can't change any more; they are
-emitted at once and forgotten. The merge list bounds how far back the chains can still differ.
+that ends the prefix there. Tokens that end at least the merge list's sufficient lookahead before the
+newest byte can't change any more, whatever follows; they are emitted and forgotten. Every pre-token
+goes through the transducer; normalisation and splitting follow the vocabulary file's own rules.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import sys
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -28,11 +29,11 @@ from factorloom.llm.common import id_and_text, rows_to_batch, text_blocks
 #: Cached results of whole words and of neighbour checks; a full cache is emptied, so memory is bounded.
 CACHE_WORDS = 1_000_000
 CACHE_PAIRS = 400_000
-#: Longer words are encoded piecewise and not cached.
-LONG_WORD = 256
+#: Bytes of a pre-token that are pushed at once.
+CHUNK = 1024
+#: Below it no character composes with another, so that each may be judged by itself.
+FIRST_COMBINING = 0x300
 NEVER = 1 << 60
-# Fixed value: white space of the tokenizer's regular expressions, which is narrower than str.split().
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_characters() -> list[str]:
@@ -86,6 +87,7 @@ class MergeList:
         # A token that isn't the encoding of its own text never occurs.
         self.inner = {b: i for b, i in self.inner.items() if self.whole(i)}
         self.final = {b: i for b, i in self.final.items() if self.whole(i)}
+        self.lookahead = self.sufficient_lookahead()
 
     def spine(self, token: int, side: list[int]) -> list[int]:
         """token and its outermost parts on one side, from the whole down to a byte."""
@@ -190,7 +192,11 @@ class MergeList:
 
 
 class Transducer:
-    """Encodes one word from byte chunks; push() and finish() return the ids that have become stable."""
+    """Encodes one pre-token from byte chunks; push() and finish() return the ids that have become stable.
+
+    A boundary between tokens is settled by the bytes up to `lookahead` behind it, so no more than that,
+    one token and one chunk are held.
+    """
 
     def __init__(self, merges: MergeList):
         self.m = merges
@@ -199,18 +205,16 @@ class Transducer:
         self.before = -1  # the last emitted token
 
     def push(self, chunk: bytes) -> list[int]:
-        """More bytes of the word; the last byte waits, since it may end the word."""
+        """More bytes; the last byte waits, since it may end the pre-token."""
         self.held += chunk
         upto = len(self.held) - 1
         if upto < 1:
             return []
         self.m.extend(self.held, self.ends, self.before, upto, False)
-        live = set(range(max(0, upto - self.m.longest), upto + 1))
-        while len(live) > 1:
-            at = max(live)
-            live.discard(at)
-            live.add(at - self.m.sizes[self.ends[at]])
-        return self._emit(live.pop())
+        stable, sizes = upto, self.m.sizes
+        while stable > upto - self.m.lookahead and stable:
+            stable -= sizes[self.ends[stable]]
+        return self._emit(stable)
 
     def _emit(self, upto: int) -> list[int]:
         out, at = [], upto
@@ -231,50 +235,78 @@ class Transducer:
         self.ends.append(self.m.ending(self.held, self.ends, self.before, n, True))
         return self._emit(n)
 
+    def restart(self, shared: int) -> None:
+        """Go back to the first `shared` bytes of a pre-token of which nothing was emitted by push()."""
+        self.held = self.held[:shared]
+        del self.ends[shared + 1 :]
+
+    def whole(self, data: bytes) -> list[int]:
+        """The ids of a pre-token that is the held bytes and `data`; the chain of its prefixes is kept for restart()."""
+        held = self.held = self.held + data
+        n, m = len(held), self.m
+        m.extend(held, self.ends, -1, n - 1, False)
+        last = m.ending(held, self.ends, -1, n, True)
+        ids, at = [last], n - m.sizes[last]
+        while at:
+            ids.append(self.ends[at])
+            at -= m.sizes[self.ends[at]]
+        return ids[::-1]
+
 
 class Encoder:
     """Texts to ids: special tokens, normalisation, pre-tokens, then the transducer for each pre-token."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.splitter, self.model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
         self.merges = MergeList(path)
-        self.piece = regex.compile(self.merges.pattern.replace(r"\s", _SPACE))
+        self.characters = byte_characters()
+        self.to_byte = {c: b for b, c in enumerate(self.characters)}
+        self.piece = regex.compile(self.merges.pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
         self.known: dict[str, bytes] = {}
+        alike = [c for c in map(chr, range(FIRST_COMBINING)) if self._alike(c)]
+        #: A character that the two libraries may class or lower-case otherwise than Python does.
+        self.odd = re.compile("[^" + re.escape("".join(alike)) + "]")
+
+    def _alike(self, c: str) -> bool:
+        probe = f"a{c}a{c}1{c}.{c}{c} {c}"
+        return self._by_library(probe) == self.piece.findall(probe.lower())
+
+    def _by_library(self, text: str) -> list[str]:
+        """Pre-tokens by the vocabulary file's own normaliser and splitter."""
+        to_byte = self.to_byte
+        return [bytes([to_byte[c] for c in mapped]).decode() for mapped, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode new pre-tokens in sorted order: a prefix shared with the one before keeps its chain of tokens."""
-        merges, known, sizes = self.merges, self.known, self.merges.sizes
-        before, ends = b"", [0]
+        machine, known = Transducer(self.merges), self.known
+        before = b""
         for piece in sorted(pieces):
             data = piece.encode()
             n = len(data)
-            if n > LONG_WORD:
+            if n > CHUNK:
                 known[piece] = _packed(self._stream(data))
                 continue
             shared, most = 0, min(len(before), n) - 1
             while shared < most and before[shared] == data[shared]:
                 shared += 1
-            del ends[shared + 1 :]
-            merges.extend(data, ends, -1, n - 1, False)
-            last = merges.ending(data, ends, -1, n, True)
-            ids, at = [last], n - sizes[last]
-            while at:
-                ids.append(ends[at])
-                at -= sizes[ends[at]]
-            known[piece] = _packed(ids[::-1])
+            machine.restart(shared)
+            known[piece] = _packed(machine.whole(data[shared:]))
             before = data
 
     def _stream(self, data: bytes) -> list[int]:
         stream, ids = Transducer(self.merges), []
-        for at in range(0, len(data), LONG_WORD):
-            ids += stream.push(data[at : at + LONG_WORD])
+        for at in range(0, len(data), CHUNK):
+            ids += stream.push(data[at : at + CHUNK])
         return ids + stream.finish()
 
     def _pieces(self, text: str) -> list[str]:
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # Character by character, as the library does: no final sigma.
-        return self.piece.findall((text.replace("\u03a3", "\u03c3") if "\u03a3" in text else text).lower())
+        if self.odd.search(text):
+            return self._by_library(text)
+        return self.piece.findall(text.lower())
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -300,13 +332,6 @@ class Encoder:
 class LibraryEncoder(Encoder):
     """The same texts to the same ids, with the tokenizers library's own model for new pre-tokens."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__(path)
-        self.model = Tokenizer.from_file(path).model
-        self.characters = byte_characters()
-
     def _learn(self, pieces: set[str]) -> None:
         tokenize, characters = self.model.tokenize, self.characters
         for piece in pieces:

@@ -338,6 +338,29 @@ def test_bpe_equals_the_library(text):
     assert "".join(bpe.decode_pieces(machine.merges, ids, 3)) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_splits_like_the_library_at_every_kind_of_character(library):
+    machine = bpe.encoder(vocabulary())
+    for code in [*range(0x3100), *range(0x3100, 0x110000, 211)]:
+        if not 0xD800 <= code < 0xE000:
+            text = f":{chr(code)}a {chr(code)}{chr(code)}1"
+            assert np.frombuffer(machine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(code)
+
+
+def test_bpe_emits_within_the_lookahead(library):
+    merges, rng = bpe.encoder(vocabulary()).merges, random.Random(3)
+    assert merges.lookahead == merges.sufficient_lookahead() > merges.longest
+    for alphabet in ("ab", "aaab", "ing", "therhean", "abcdefghijklmnopqrstuvwxyz"):
+        word = "".join(rng.choice(alphabet) for _ in range(4000))
+        want = library.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.encoder(vocabulary()).encode(word), "<u4").tolist() == want
+        stream, ids, most = bpe.Transducer(merges), [], 0
+        for at in range(0, len(word), 9):
+            ids += stream.push(word[at : at + 9].encode())
+            most = max(most, len(stream.held))
+        assert ids and ids + stream.finish() == want
+        assert most <= merges.lookahead + merges.longest + 9
+
+
 def test_bpe_table_and_memory(docs, body, library):
     got = by_id(bpe.round_trip(docs, vocabulary()))
     for d, text in body.items():
