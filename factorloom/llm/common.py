@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -25,6 +24,10 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(docs[id_col].cast("long").alias("doc_id"), (body.cast("binary") if binary else body).alias("body"))
 
 
+#: Shuffle files go when their query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names, so that no executor's loss costs a result.
 
@@ -45,18 +48,20 @@ class Scratch:
         self.made = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table; the shuffle files that it took are deleted when it is written."""
         self.made += 1
         path = f"{self.home}/{self.made:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of tables that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
