@@ -18,6 +18,8 @@ from factorloom.operators import stats
 
 # The dimensions every rating has, each a whole number from 1 to 5.
 DIMENSIONS = ("domain_meaning", "structural_plausibility", "readability_generalizability", "hypothesis_support")
+#: Ratings that are resampled on the driver.
+MOST_RATINGS = 1_000_000
 # Keys that a public item never has.
 FORBIDDEN = ("method", "method_name", "seed", "r2", "r2_test", "r2_val", "explanation", "llm_explanation")
 LOW, HIGH = 1, 5
@@ -53,8 +55,8 @@ def export_blind(records: list[dict[str, Any]], seed: int = 0, public_path: str
         private[ident] = {"orig_index": i, **{k: r.get(k) for k in ("method", "seed", "r2_test", "r2_val", "dataset", "target")}}
     if public_path:
         _write_lines(public_path, [public_row(x) for x in items])
-        head = ",".join(["item_id", *DIMENSIONS, "rater_id"])
-        Path(public_path).with_suffix(".human_template.csv").write_text("\n".join([head, *(f"{x.item_id}," + "," * len(DIMENSIONS) for x in items)]) + "\n")
+        head = ",".join(["item_id", *DIMENSIONS, "overall_judgment", "rater_id"])
+        Path(public_path).with_suffix(".human_template.csv").write_text("\n".join([head, *(f"{x.item_id}," + "," * (len(DIMENSIONS) + 1) for x in items)]) + "\n")
     if private_path:
         Path(private_path).parent.mkdir(parents=True, exist_ok=True)
         Path(private_path).write_text(json.dumps({"seed": seed, "mapping": private}, indent=2))
@@ -219,8 +221,10 @@ def group_means(df: DataFrame, by: str) -> DataFrame:
 
 
 def summarise(df: DataFrame, draws: int = 2000, seed: int = 0) -> dict[str, Any]:
-    """Means with bootstrap intervals of one group; its ratings are few, so they are resampled here."""
-    rows = df.withColumn("overall", overall()).select(*DIMENSIONS, "overall").toPandas()
+    """Means with bootstrap intervals of one group, resampled here; over MOST_RATINGS rows are an error."""
+    rows = df.withColumn("overall", overall()).select(*DIMENSIONS, "overall").limit(MOST_RATINGS + 1).toPandas()
+    if len(rows) > MOST_RATINGS:
+        raise ValueError(f"over {MOST_RATINGS} ratings: use group_intervals, which collects none")
     out: dict[str, Any] = {"n": len(rows)}
     for c in rows.columns:
         values = rows[c].to_numpy(float)
@@ -229,6 +233,16 @@ def summarise(df: DataFrame, draws: int = 2000, seed: int = 0) -> dict[str, Any]
     return out
 
 
+def group_intervals(df: DataFrame, by: list[str], draws: int = 200, seed: int = 0) -> DataFrame:
+    """(by, dimension, n, mean, low, high): means of each dimension and overall with bootstrap intervals, for tables of any size.
+
+    A rating's weights depend on its rater and item alone, so its dimensions are resampled together.
+    """
+    measures = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in (*DIMENSIONS, "overall")))
+    long = df.withColumn("overall", overall()).select(*by, F.struct("rater_id", "item_id").alias("key"), F.explode(measures).alias("m")).select(*by, "key", "m.*")
+    return stats.bootstrap_by_weights(long, F.col("value"), F.col("key"), draws, seed, [*by, "dimension"])
+
+
 def item_means(df: DataFrame) -> DataFrame:
     return df.withColumn("overall", overall()).groupBy("item_id").agg(F.avg("overall").alias("overall"))
 

@@ -17,6 +17,8 @@ from factorloom.functions.numeric import TINY
 WEIGHTS = 3
 #: Rows that formulas are evaluated on at a time.
 CHUNK = 8192
+#: Ranges of values for ranks, and of each of two values whose pairs are counted.
+CELLS, PAIR_CELLS = 512, 256
 
 
 def guarded_corr(x: Column, y: Column, least: float = TINY) -> Column:
@@ -271,31 +273,95 @@ def average_rank(value: str, by: list[str] | None = None) -> Column:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, rho): Pearson of average ranks; null for constants and under two rows.
 
-    Ranks are found by counting equal and lesser values, so no window has to hold all rows in one task.
+    Ranks are found by counting equal and lesser values within ranges of values, so no task holds all rows.
     """
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     ranked = rows.join(_ranks(rows, "a"), "a").join(_ranks(rows, "b"), "b")
     spread = (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(spread, F.covar_pop("ra", "rb") / F.when(spread, F.stddev_pop("ra") * F.stddev_pop("rb"))).alias("rho"))
 
 
+def cells(rows: DataFrame, columns: list[str], most: int = CELLS) -> list[list[float]]:
+    """For each column the lower edges of ranges of values with about equally many rows; at most `most` numbers reach the driver."""
+    places = [i / most for i in range(most)]
+    row = rows.agg(*(F.percentile_approx(c, places, 20 * most).alias(f"q{i}") for i, c in enumerate(columns))).first()
+    return [sorted(set(row[f"q{i}"] or [])) for i in range(len(columns))]
+
+
+def cell_of(value: Column, edges: list[float]) -> Column:
+    """The number of edges that are at most the value."""
+    return F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= value)) if edges else F.lit(0)
+
+
 def _ranks(rows: DataFrame, c: str) -> DataFrame:
-    """(c, rank) of the distinct values, which ratings have few of."""
-    counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-    until = F.sum("k").over(Window.orderBy(c))
-    return counts.select(c, (until - (F.col("k") - 1) / 2.0).alias(f"r{c}"))
+    """(c, rank) of the distinct values: rows in lower ranges, then a running count within the range."""
+    (edges,) = cells(rows, [c])
+    counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("k")).withColumn("cell", cell_of(F.col(c), edges))
+    # As many rows as there are ranges.
+    below = counts.groupBy("cell").agg(F.sum("k").alias("in_cell")).select("cell", (F.sum("in_cell").over(Window.orderBy("cell")) - F.col("in_cell")).alias("below"))
+    until = F.col("below") + F.sum("k").over(Window.partitionBy("cell").orderBy(c))
+    return counts.join(F.broadcast(below), "cell").select(c, (until - (F.col("k") - 1) / 2.0).alias(f"r{c}"))
+
+
+def ordered_pairs(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> tuple[float, float]:
+    """(pairs tied in neither, those ordered alike) of rows that stand for k items each, by merging."""
+    def tied(*keys: np.ndarray) -> float:
+        _, at = np.unique(np.stack(keys), axis=1, return_inverse=True)
+        each = np.bincount(at.ravel(), k)
+        return float((each * each).sum())
+
+    total = float(k.sum()) ** 2
+    apart = (total - tied(a) - tied(b) + tied(a, b)) / 2
+    order = np.lexsort((-b, a))  # equal a: falling b, so they are never counted as ordered alike
+    rank = np.unique(b, return_inverse=True)[1].ravel()[order].astype(np.int64)
+    weight, n, alike, width = k[order].astype(float), len(order), 0.0, 1
+    place, top = np.arange(n), n + 1
+    while width < n:
+        left = place // width % 2 == 0
+        block = place // (2 * width)
+        key = block * top + rank
+        lefts = np.flatnonzero(left)
+        lefts = lefts[np.argsort(key[lefts], kind="stable")]
+        until = np.append(0.0, np.cumsum(weight[lefts]))
+        rights = np.flatnonzero(~left)
+        lower, start = np.searchsorted(key[lefts], key[rights]), np.searchsorted(key[lefts], block[rights] * top)
+        alike += float(((until[lower] - until[start]) * weight[rights]).sum())
+        width *= 2
+    return apart, alike
 
 
 def pairwise_agreement(df: DataFrame, item: str, a: str, b: str) -> DataFrame:
     """One row (pairs, agreement): of item pairs tied in neither, the share ordered alike.
 
-    Pairs are counted between groups of equal (a, b), of which ratings have few.
+    Both values are cut into ranges. Pairs in unlike ranges of both are counted from the table of ranges, those in
+    one range of a, or of b alone, within the range, by merging; no pair of items is made.
     """
-    groups = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    x, y = groups.alias("x"), groups.alias("y")
-    pairs = x.join(y, (F.col("x.a") < F.col("y.a")) & (F.col("x.b") != F.col("y.b")))
-    weight = F.col("x.k") * F.col("y.k")
-    return pairs.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("pairs"), (F.sum(F.when(F.col("x.b") < F.col("y.b"), weight).otherwise(0)) / F.sum(weight)).alias("agreement"))
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    ea, eb = cells(rows, ["a", "b"], PAIR_CELLS)
+    groups = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).withColumns({"i": cell_of(F.col("a"), ea), "j": cell_of(F.col("b"), eb)})
+    table = groups.groupBy("i", "j").agg(F.sum("k").alias("k")).collect()  # at most PAIR_CELLS squared
+    grid = np.zeros((len(ea) + 1, len(eb) + 1))
+    for r in table:
+        grid[r["i"], r["j"]] = r["k"]
+    until = grid.cumsum(0).cumsum(1)
+    low = (grid[1:, 1:] * until[:-1, :-1]).sum()
+    others = (grid.sum() ** 2 - (grid.sum(0) ** 2).sum() - (grid.sum(1) ** 2).sum() + (grid**2).sum()) / 2
+
+    def within_a(part: pd.DataFrame) -> pd.DataFrame:
+        apart, alike = ordered_pairs(part["a"].to_numpy(), part["b"].to_numpy(), part["k"].to_numpy())
+        return pd.DataFrame({"apart": [apart], "alike": [alike]})
+
+    def within_b(part: pd.DataFrame) -> pd.DataFrame:
+        """Pairs in one range of b but in unlike ranges of a."""
+        i, x, k = part["i"].to_numpy(), part["b"].to_numpy(), part["k"].to_numpy()
+        apart, alike = ordered_pairs(i, x, k)
+        return pd.DataFrame({"apart": [apart], "alike": [alike]})
+
+    sums = "apart double, alike double"
+    first, second = groups.groupBy("i").applyInPandas(within_a, sums), groups.groupBy("j").applyInPandas(within_b, sums)
+    found = first.unionByName(second).agg(F.coalesce(F.sum("apart"), F.lit(0.0)).alias("apart"), F.coalesce(F.sum("alike"), F.lit(0.0)).alias("alike"))
+    apart, alike = F.col("apart") + float(others), F.col("alike") + float(low)
+    return found.select(F.round(apart).cast("long").alias("pairs"), F.when(apart > 0, alike / apart).alias("agreement"))
 
 
 def bootstrap_interval(values: np.ndarray, draws: int = 2000, seed: int = 0) -> tuple[float, float]:
@@ -310,15 +376,32 @@ def bootstrap_interval(values: np.ndarray, draws: int = 2000, seed: int = 0) ->
     return float(low), float(high)
 
 
-def bootstrap_by_weights(df: DataFrame, value: Column, key: Column, draws: int = 200, seed: int = 0) -> DataFrame:
-    """(low, high) of the mean for tables of any size: each row joins each draw with a Poisson weight of its key."""
-    reps = df.select(value.alias("v"), key.alias("k")).where("v is not null").select("v", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "k")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    edges, total, p = [], 0.0, np.exp(-1.0)
-    for j in range(8):
-        total += p
-        edges.append(total)
-        p /= j + 1
-    weight = sum((F.when(u > e, 1).otherwise(0) for e in edges[1:]), F.when(u > edges[0], 1).otherwise(0))
-    means = reps.groupBy("draw").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("mean"))
-    return means.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+def bootstrap_by_weights(df: DataFrame, value: Column, key: Column, draws: int = 200, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """(by, n, mean, low, high) of the mean for tables of any size: each row has a Poisson weight of its key in each draw.
+
+    A task adds up two vectors of `draws` sums for each group; no row is repeated.
+    """
+    names = by or []
+    rows = df.select(*names, value.cast("double").alias("v"), F.xxhash64(F.lit(seed), key).alias("k")).where("v is not null and not isnan(v)")
+    edges = np.cumsum(np.exp(-1.0) / np.cumprod(np.append(1.0, np.arange(1, 9))))
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.select(*names).dtypes), "draw int", "w double", "wv double", "n long", "s double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            frame = batch.to_pandas()
+            for name, part in frame.groupby(names, dropna=False) if names else [((), frame)]:
+                v, keys = part["v"].to_numpy(), part["k"].to_numpy().astype(np.uint64)
+                sums = held.setdefault(tuple(name), [np.zeros(draws), np.zeros(draws), np.zeros(2)])
+                sums[2] += len(v), v.sum()
+                for j in range(draws):
+                    weight = np.searchsorted(edges, (_weights(keys, j) + 1.0) / 2.0, side="right")
+                    sums[0][j] += weight.sum()
+                    sums[1][j] += weight @ v
+        for name, (w, wv, total) in held.items():
+            columns = [[None if pd.isna(x) else x] * draws for x in name]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(dict(zip(names, columns, strict=True)) | {"draw": np.arange(draws, dtype=np.int32), "w": w, "wv": wv, "n": int(total[0]), "s": total[1]}), preserve_index=False)
+
+    each = rows.mapInArrow(run, schema).groupBy(*names, "draw").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    means = each.select(*names, "n", (F.col("s") / F.nullif("n", F.lit(0))).alias("mean"), (F.col("wv") / F.nullif("w", F.lit(0.0))).alias("draw_mean"))
+    return means.groupBy(*names).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.percentile("draw_mean", 0.025).alias("low"), F.percentile("draw_mean", 0.975).alias("high"))
