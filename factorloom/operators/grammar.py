@@ -145,7 +145,7 @@ def safe_name(name: str, taken: set[str], prefix: str = "raw_", longest: int = 9
     core = re.sub("[^A-Za-z0-9_]+", "_", name).strip("_") or "x"
     if core[0].isdigit():
         core = f"x_{core}"
-    stem = (prefix + core)[:longest]
+    stem = (prefix + core)[:longest].rstrip("_") or "x"
     found, k = stem, 2
     while found in taken:
         tail = f"_{k}"

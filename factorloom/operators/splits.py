@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -16,6 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("train", "validation", "test")
+#: Digits by which prefixes of hashes grow while a cut is sought.
+STEP = 4
+#: Ids that the exact mode collects.
+MOST_IDS = 5_000_000
 
 
 def fractions(train: float = 0.6, validation: float = 0.2, test: float = 0.2) -> tuple[float, float, float]:
@@ -37,30 +42,37 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), key.cast("string")), 256)
 
 
-def _cuts(ids: DataFrame, places: list[int]) -> list[str | None]:
-    """The hash at each 0-based place of ids(h) in order, found by narrowing on hash prefixes.
+def _cuts(ids: DataFrame, places: Callable[[int], list[int]]) -> list[str | None]:
+    """The hash at each 0-based place of ids(h) in order, found by narrowing on hash prefixes; places(n) names them.
 
-    Counts of prefixes are small whatever the table, and only those around a place are read on.
+    One aggregation by a prefix of STEP digits tells n and the cell of every place, and the least hash of a cell
+    with one id is the answer. Larger cells are read on, all at once: with 65,536 cells twice will do for 10^9 ids.
     """
-    out: list[str | None] = []
-    for place in places:
-        prefix, before = "", 0
-        while True:
-            width = min(64, len(prefix) + 3)
-            rows = ids.where(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, width).alias("p")).count().orderBy("p").collect()
+    width, found, open_ = STEP, {}, {}
+    while True:
+        inside = ids
+        if open_:
+            inside = ids.where(F.substring("h", 1, width - STEP).isin(sorted({p for p, _ in open_.values()})))
+        rows = inside.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h")).orderBy("p").collect()
+        if not open_:
+            total = sum(r["n"] for r in rows)
+            wanted = places(total)
+            open_ = {k: ("", place) for k, place in enumerate(wanted)}
+        left = {}
+        for k, (prefix, place) in open_.items():
             for r in rows:
-                if before + r["count"] > place:
-                    prefix = r["p"]
-                    single = r["count"] == 1
+                if not r["p"].startswith(prefix):
+                    continue
+                if place < r["n"]:
+                    if r["n"] == 1 or width >= 64:
+                        found[k] = r["h"]
+                    else:
+                        left[k] = (r["p"], place)
                     break
-                before += r["count"]
-            else:
-                out.append(None)
-                break
-            if single or width == 64:
-                out.append(ids.where(F.col("h").startswith(prefix)).agg(F.min("h")).first()[0])
-                break
-    return out
+                place -= r["n"]
+        if not left:
+            return [found.get(k) for k in range(len(wanted))]
+        open_, width = left, width + STEP
 
 
 def hash_roles(df: DataFrame, key: str, seed: int = 7, parts: tuple[float, float, float] | None = None) -> DataFrame:
@@ -69,12 +81,16 @@ def hash_roles(df: DataFrame, key: str, seed: int = 7, parts: tuple[float, float
     The two cuts are found by prefix counts; no global sort and no single task see all keys.
     """
     ids = df.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("h", hash_order(F.col(key), seed))
-    n = ids.count()
-    train, validation, _ = counts(n, parts or fractions())
-    first, second = _cuts(ids, [train, train + validation])
+    share = parts or fractions()
+
+    def places(n: int) -> list[int]:
+        train, validation, _ = counts(n, share)
+        return [train, train + validation]
+
+    first, second = _cuts(ids, places)
     role = F.lit("train")
     if first is not None:
-        role = F.when(F.col("h") < first, "train").otherwise("test" if second is None and validation == 0 else "validation")
+        role = F.when(F.col("h") < first, "train").otherwise("validation")
     if second is not None:
         role = F.when(F.col("h") >= second, "test").otherwise(role)
     return ids.select(key, role.alias("role"))
@@ -170,7 +186,9 @@ def build_manifest(df: DataFrame, id_columns: tuple[str, ...], seed: int = 0, pa
     key = next((c for c in id_columns if c in df.columns), None)
     if key is None:
         raise ValueError("a row id column is needed")
-    rows = df.select(F.col(key).cast("string").alias("i"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g")).collect()
+    rows = df.select(F.col(key).cast("string").alias("i"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g")).limit(MOST_IDS + 1).collect()
+    if len(rows) > MOST_IDS:
+        raise ValueError(f"over {MOST_IDS} rows: use hash_roles or group_roles, which collect none")
     ids = [r["i"] for r in rows]
     if len(ids) != len(set(ids)):
         raise ValueError(f"repeated ids in {key}")

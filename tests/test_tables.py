@@ -38,7 +38,8 @@ def test_grammar_small(spark):
 def test_names_collide_within_length():
     taken = set()
     names = [grammar.safe_name("a b", taken, "p_", 6), grammar.safe_name("a-b", taken, "p_", 6), grammar.safe_name("a_b", taken, "p_", 5), grammar.safe_name("9!", taken, ""), grammar.safe_name("!!", taken, "")]
-    assert names == ["p_a_b", "p_a__2", "p_a_3", "x_9", "x"]
+    assert names == ["p_a_b", "p_a__2", "p_a_2", "x_9", "x"]
+    assert grammar.safe_name("ab_!_cd", set(), "raw_", 8) == "raw_ab" and grammar.safe_name("abc_def", set(), "raw_", 8) == "raw_abc"
 
 
 @pytest.mark.parametrize("policy", ["median", "mean", "zero"])
