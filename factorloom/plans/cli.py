@@ -166,7 +166,12 @@ def run_search(args: Args) -> Any:
     for t in run.targets():
         kind = next((k for k in ("pool", "raw") if run.place(k, t).exists()), "raw")
         frame, _, x = run.features(t, kind)
-        engine = search.surrogate if args.engine == "surrogate" else search.beam_search()
+        settings = run.work.get("raw_pysr", {})
+        if args.engine == "external":
+            # The configuration names the program, as a list of words; the engine's options stand beside it.
+            engine = search.external(settings["command"], run.place("search", t) / "engine", {k: v for k, v in settings.items() if k != "command"})
+        else:
+            engine = search.surrogate if args.engine == "surrogate" else search.beam_search()
         got = search.run_search(frame, x, F.col("target"), "row_id", engine, run.train(frame), out_dir=run.place("search", t))
         out[t] = {k: got.get(k) for k in ("status", "best_equation", "best_r2", "best_complexity")}
     return out
@@ -289,7 +294,7 @@ def parser() -> argparse.ArgumentParser:
     command("llm-select-factors", select_factors, limit=number(200), batch={"type": int})
     command("build-pysr-pool", build_pool, selection={}, csv=flag)
     command("build-union", build_union, csv=flag)
-    command("run-pysr", run_search, engine={"choices": ["surrogate", "beam"], "default": "surrogate"})
+    command("run-pysr", run_search, engine={"choices": ["surrogate", "beam", "external"], "default": "surrogate"})
     command("verify", verify, expression={})
     command("llm-brief", llm_brief)
     command("llm-interpret", llm_interpret)

@@ -165,6 +165,22 @@ def one_per_task(results: DataFrame) -> DataFrame:
     return results.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def rating_candidates(results: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Items for blind rating: the chosen run of each task and method with what the catalogue says of the task.
+
+    results(task_id, method, seed, expression, expanded_expression, r2_test), of which those without an expression
+    don't count; catalogue(task_id, name, variables: array of (name, low, high, meaning)). The formula is the
+    expanded one, if there is one. Runs of tasks that the catalogue lacks have no item.
+    """
+    runs = one_per_task(results.where(F.coalesce("expression", F.lit("")) != ""))
+    variables = F.transform("variables", lambda v: F.struct(v["name"].alias("name"), F.coalesce(v["meaning"], F.lit("")).alias("definition"), F.lit("-").alias("unit"), F.concat(F.lit("["), v["low"].cast("string"), F.lit(","), v["high"].cast("string"), F.lit("]")).alias("allowed_range")))
+    return runs.join(catalogue.select("task_id", "name", "variables"), "task_id").select(
+        F.when(F.coalesce("expanded_expression", F.lit("")) != "", F.col("expanded_expression")).otherwise(F.col("expression")).alias("formula"), variables.alias("variables"),
+        F.concat(F.lit("Find the relation behind the target y. Domain: "), F.coalesce("name", F.lit("")), F.lit(".")).alias("task_context"), F.concat(F.lit("task_"), F.substring(F.col("task_id").cast("string"), 1, 3)).alias("dataset_label"),
+        "method", "seed", "r2_test", F.col("task_id").cast("string").alias("dataset"), F.lit("y").alias("target"),
+    )
+
+
 def sample_tasks(pool: list[dict[str, Any]], size: int = 20, seed: int = 0, least_nodes: int = 3, required: tuple[str, ...] = ()) -> list[dict[str, Any]]:
     """A stratified, reproducible sample of tasks.
 

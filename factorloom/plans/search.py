@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable
+import subprocess
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any, Protocol
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,48 @@ class SearchOptions:
     more: dict[str, Any] = field(default_factory=dict)
 
 
+# Option names of an external engine and their defaults; others are handed on as they are.
+ENGINE_OPTIONS: dict[str, Any] = {
+    "model_selection": "accuracy", "niterations": 1_000_000, "binary_operators": ["+", "-", "*", "/"], "unary_operators": ["abs", "inv(x)=1/x"], "elementwise_loss": "loss(x, y) = (x - y)^2",
+    "population_size": 300, "populations": 32, "maxsize": 30, "parsimony": 1e-6, "adaptive_parsimony_scaling": 150.0, "ncycles_per_iteration": 250, "optimizer_algorithm": "BFGS",
+    "optimizer_nrestarts": 3, "optimizer_iterations": 12, "should_optimize_constants": True, "optimize_probability": 0.16, "tournament_selection_n": 15, "precision": 64, "procs": 16,
+    "parallelism": "multiprocessing", "timeout_seconds": 86400, "seed": 20260709, "deterministic": False, "warm_start": False, "verbosity": 0, "update_verbosity": 0, "progress": False, "output_directory": None,
+}
+#: The table of equations that an engine leaves in its folder, with columns equation, loss, score and complexity.
+SNAPSHOT = "model_equations_snapshot.csv"
+
+
+def external(command: list[str], work: str | Path, options: dict[str, Any] | None = None, most_rows: int = 1_000_000) -> Search:
+    """An engine that is a program of its own: command + [folder].
+
+    The folder holds features.csv, y.csv and run_config.json with all options; the program writes SNAPSHOT there.
+    It works on one machine, so tables of over `most_rows` training rows are refused, not sampled. A program that
+    fails or outlasts timeout_seconds by a minute is an error.
+    """
+    settings = ENGINE_OPTIONS | (options or {})
+    settings["tournament_selection_n"] = max(2, min(int(settings["tournament_selection_n"]), int(settings["population_size"]) - 1))
+
+    def run(df: DataFrame, features: dict[str, Column], y: Column, key: str, where: Column | None = None) -> list[dict[str, Any]]:
+        rows = (df.where(where) if where is not None else df).select(F.col(key).cast("string").alias("row_id"), *(c.alias(n) for n, c in features.items()), y.alias("__y"))
+        table = rows.limit(most_rows + 1).toPandas().sort_values("row_id")
+        if len(table) > most_rows:
+            raise ValueError(f"over {most_rows} training rows are more than the external engine is given")
+        place = Path(work)
+        place.mkdir(parents=True, exist_ok=True)
+        (place / SNAPSHOT).unlink(missing_ok=True)
+        table[list(features)].to_csv(place / "features.csv", index=False)
+        table[["__y"]].rename(columns={"__y": "target"}).to_csv(place / "y.csv", index=False)
+        write_json(settings | {"output_directory": settings["output_directory"] or str(place)}, place / "run_config.json")
+        done = subprocess.run([*command, str(place)], capture_output=True, text=True, timeout=float(settings["timeout_seconds"]) + 60, check=False)
+        if done.returncode:
+            raise RuntimeError(f"the engine ended with {done.returncode}: {done.stderr[-500:]}")
+        found = pd.read_csv(place / SNAPSHOT)
+        found.columns = [c.lower() for c in found.columns]
+        return [{k: (None if pd.isna(v) else v) for k, v in r.items() if k in ("equation", "loss", "score")} for r in found.to_dict("records") if isinstance(r.get("equation"), str)]
+
+    return run
+
+
 def _terms(text: str, beta: float) -> str:
     return f"({beta:.6g} * {text})"
 
@@ -103,7 +149,11 @@ def score_archive(df: DataFrame, records: list[dict[str, Any]], features: dict[s
 
 def run_search(df: DataFrame, features: dict[str, Column], y: Column, key: str, search: Search = surrogate, train: Column | None = None, validation: Column | None = None, out_dir: str | Path | None = None, options: SearchOptions | None = None) -> dict[str, Any]:
     """One engine's run with its status; the result document names the best equation on the validation rows."""
-    status: dict[str, Any] = {"status": "started", "options": vars(options or SearchOptions())}
+    fitted_on = train if train is not None else F.lit(True)
+    status: dict[str, Any] = {"status": "started", "started_at": time.time(), "options": vars(options or SearchOptions()), "n_features": len(features)}
+    line = stats.linear(list(features.values()), *stats.fit_linear(df, list(features.values()), y, fitted_on)) if features else F.lit(0.0)
+    plain = stats.regression_metrics(df.where(fitted_on), y, line).first()
+    status |= {"linear_r2": plain["r2"], "linear_rmse": plain["rmse"]}
     if out_dir:
         write_json(status, Path(out_dir) / "best_result.json")
     try:
@@ -111,12 +161,15 @@ def run_search(df: DataFrame, features: dict[str, Column], y: Column, key: str,
         best = max((r for r in records if math.isfinite(r["r2_val"])), key=lambda r: (r["r2_val"], -r["complexity"]), default=None)
         status |= {"status": "success" if best else "error", "equations": records} | ({"best_equation": best["equation"], "best_r2": best["r2_val"], "best_rmse": best["rmse"], "best_complexity": best["complexity"]} if best else {"error": "no equation with a finite score"})
     except Exception as problem:
-        status |= {"status": "error", "error": f"{type(problem).__name__}: {problem}"}
+        status |= {"status": "error", "error": f"{type(problem).__name__}: {problem}", "finished_at": time.time()}
         if out_dir:
             write_json(status, Path(out_dir) / "best_result.json")
         raise
+    status |= {"finished_at": time.time()}
+    status["elapsed_seconds"] = status["finished_at"] - status["started_at"]
     if out_dir:
         write_json(status, Path(out_dir) / "best_result.json")
+        pd.DataFrame(records, columns=sorted({k for r in records for k in r} | {"equation"})).to_csv(Path(out_dir) / SNAPSHOT, index=False)
     return status
 
 
@@ -183,6 +236,69 @@ def fit_skeleton(text: str, columns: dict[str, np.ndarray], y: np.ndarray, seed:
         return {"skeleton": text, "params": [], "expression": None, "r2": float("nan"), "error": str(problem)}
 
 
+def fit_skeleton_table(df: DataFrame, text: str, columns: dict[str, Column], y: Column, seed: int = 0, passes: int = 30, sample: int = 5000) -> dict[str, Any]:
+    """fit_skeleton over a table of any size.
+
+    Starting values are fitted to at most `sample` rows, those with the least hashes. Then each pass adds up the
+    residuals' products with their numeric derivatives over all rows, in Arrow batches, until a damped step no
+    longer helps. The driver gets one small matrix for each of up to 32 groups of tasks.
+    """
+    try:
+        tree = safe_skeleton(text)
+    except formula.FormulaError as problem:
+        return {"skeleton": text, "params": [], "expression": None, "r2": float("nan"), "error": str(problem)}
+    n, names = parameter_count(tree), list(columns)
+    rows = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())), y.cast("double").alias("y")).where("y is not null and not isnan(y)")
+    few = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(sample).toPandas()
+    first = fit_skeleton(text, {v: few[f"c{i}"].to_numpy(float) for i, v in enumerate(names)}, few["y"].to_numpy(float), seed)
+    if first["error"]:
+        return first
+
+    def sums(at: np.ndarray) -> tuple[float, float, float, float, np.ndarray, np.ndarray]:
+        """Rows, their sum and sum of squares of y, cost, gradient and Gram matrix of the derivatives."""
+        steps = 1e-6 * np.maximum(np.abs(at), 1e-3)
+        size = 4 + n + n * n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                values = {v: batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(names)}
+                truth = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(float)
+                with np.errstate(all="ignore"):
+                    each = [formula.evaluate(tree, values, len(truth), formula.SKELETON_FUNCTIONS, p) for p in (at, *(at + s * e for s in (1, -1) for e in np.diag(steps)))]
+                fine = np.isfinite(each).all(axis=0)
+                r = np.where(fine, each[0] - truth, BAD)
+                slopes = np.array([np.where(fine, (each[1 + j] - each[1 + n + j]) / (2 * steps[j]), 0.0) for j in range(n)]).reshape(n, len(truth))
+                total += np.concatenate([[len(truth), truth.sum(), truth @ truth, r @ r], slopes @ r, (slopes @ slopes.T).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["part"])
+
+        def added(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": [sum(np.frombuffer(x) for x in part["part"]).tobytes()]})
+
+        parts = rows.mapInArrow(run, "part binary").withColumn("g", F.spark_partition_id() % 32).groupBy("g").applyInPandas(added, "part binary").collect()
+        t = sum((np.frombuffer(bytes(p["part"])) for p in parts), np.zeros(size))
+        return t[0], t[1], t[2], t[3], t[4 : 4 + n], t[4 + n :].reshape(n, n)
+
+    at, damp = np.array(first["params"], float), 1e-6
+    count, total, squares, cost, gradient, square = sums(at)
+    for _ in range(passes if n else 0):
+        move = np.linalg.lstsq(square + damp * np.diag(np.maximum(np.diag(square), 1e-12)), -gradient, rcond=None)[0]
+        *_, cost2, gradient2, square2 = sums(at + move)
+        if cost2 < cost:
+            done = cost - cost2 <= 1e-12 * cost
+            at, cost, gradient, square, damp = at + move, cost2, gradient2, square2, max(damp / 10, 1e-12)
+            if done:
+                break
+        elif np.abs(move).max() <= 1e-9 * np.abs(at).max() or damp > 1e6:
+            break
+        else:
+            damp *= 10
+    sst = squares - total * total / max(count, 1.0)
+    return {"skeleton": text, "params": at.tolist(), "expression": fill_parameters(text, at.tolist()), "r2": float(1 - cost / sst) if sst > 0 else float("nan"), "error": None}
+
+
 def fill_parameters(text: str, params: list[float]) -> str:
     """The skeleton with six significant digits of each parameter."""
     return formula.show(formula.substitute(formula.parse(text), {}, {i: ("num", float(f"{p:.6g}")) for i, p in enumerate(params)}))

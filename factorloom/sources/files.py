@@ -14,6 +14,10 @@ from factorloom.functions import formula
 from factorloom.functions.numeric import finite_or_zero, missing_flag, nullify
 
 
+#: Lines of files without a key that are read on the driver.
+MOST_LINES = 2_000_000
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header, all text; a byte-order mark before the first name is dropped."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path))
@@ -49,24 +53,37 @@ def write_features(frame: DataFrame, manifest: dict[str, Any], path: str | Path,
 
 
 def read_features(spark: SparkSession, path: str | Path) -> tuple[DataFrame, dict[str, Any]]:
-    """The Parquet table of a feature directory; else its hybrid_features.csv, features.csv with y.csv.
+    """The Parquet table of a feature directory; else its hybrid_features.csv, or features.csv, with y.csv and row_roles.csv.
 
-    CSV features have no key, so their place in the file is the row id; y's column is 'target' or the first.
+    CSV files that all have a row_id are read and joined by Spark. Older ones have no key: their lines belong together
+    by their places, which become row ids; such files are read here, up to MOST_LINES. y's column is 'target' or the first.
     """
     path = Path(path)
     manifest = read_json(path / "manifest.json") if (path / "manifest.json").exists() else {}
     if (path / "features.parquet").exists():
         return spark.read.parquet(str(path / "features.parquet")), manifest
+    name = "hybrid_features.csv" if (path / "hybrid_features.csv").exists() else "features.csv"
+    there = [n for n in (name, "y.csv", "row_roles.csv") if (path / n).exists()]
+    heads = {n: read_csv(spark, str(path / n)) for n in there}
+    if all("row_id" in df.columns for df in heads.values()):
+        out = heads[name].select("row_id", *(F.col(f"`{c}`").try_cast("double").alias(c) for c in heads[name].columns if c not in ("row_id", "target", "role")))
+        for n, new in (("y.csv", "target"), ("row_roles.csv", "role")):
+            if n in heads:
+                value = F.col(new if new in heads[n].columns else next(c for c in heads[n].columns if c != "row_id"))
+                out = out.join(heads[n].select("row_id", (value.try_cast("double") if new == "target" else value).alias(new)), "row_id", "left")
+        return out, manifest
     import pandas as pd
 
-    name = "hybrid_features.csv" if (path / "hybrid_features.csv").exists() else "features.csv"
-    x, y = pd.read_csv(path / name, encoding="utf-8-sig"), pd.read_csv(path / "y.csv", encoding="utf-8-sig")
+    parts = {n: pd.read_csv(path / n, encoding="utf-8-sig", nrows=MOST_LINES + 1) for n in there}
+    x, y = parts[name], parts["y.csv"]
+    if len(x) > MOST_LINES:
+        raise ValueError(f"over {MOST_LINES} lines without a row_id: give the files a key")
     if len(x) != len(y):
         raise ValueError("features and target have unlike lengths")
     x.insert(0, "row_id", [str(i) for i in range(len(x))])
     x["target"] = y["target"] if "target" in y.columns else y.iloc[:, 0]
-    if (path / "row_roles.csv").exists():
-        x["role"] = pd.read_csv(path / "row_roles.csv").iloc[:, 0]
+    if "row_roles.csv" in parts:
+        x["role"] = parts["row_roles.csv"].iloc[:, 0]
     return spark.createDataFrame(x), manifest
 
 

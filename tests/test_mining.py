@@ -1,6 +1,7 @@
 """Mining, pools, cross-validation, lineage, selection, similarity and search."""
 
 import json
+import sys
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.functions import formula
-from factorloom.operators import crossval, lineage, mine, select, similarity
+from factorloom.operators import crossval, lineage, mine, select, similarity, stats
 from factorloom.plans import experiments, search
 from factorloom.sources.synthetic import make_task
 
@@ -160,3 +161,65 @@ def test_task_sampler():
 def test_reserved_names():
     task = make_task("r", "S * beta", [{"name": "S", "low": 1, "high": 2}, {"name": "beta", "low": 1, "high": 2}], rows=(10, 5, 5), points=5)
     assert task.names == ["var_S", "var_beta"] and task.expression == "(var_S * var_beta)"
+
+
+def test_external_engine(spark, tmp_path):
+    """A program of its own gets the training rows and options; its equations are scored here, its failures are told."""
+    program = tmp_path / "engine.py"
+    program.write_text(
+        "import csv, json, sys, pathlib\n"
+        "place = pathlib.Path(sys.argv[1])\n"
+        "options = json.loads((place / 'run_config.json').read_text())\n"
+        "rows = list(csv.reader((place / 'features.csv').open()))\n"
+        "assert options['maxsize'] == 9 and options['populations'] == 32 and rows[0] == ['a', 'b'] and len(rows) == 31, rows[:2]\n"
+        "(place / 'model_equations_snapshot.csv').write_text('Complexity,Loss,Equation\\n3,0.5,a * b\\n1,2,a\\n')\n"
+    )
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5), float((i % 7) * (i % 5))) for i in range(40)], "k long, a double, b double, y double")
+    x, train = {"a": F.col("a"), "b": F.col("b")}, F.col("k") < 30
+    engine = search.external([sys.executable, str(program)], tmp_path / "work", {"maxsize": 9})
+    got = search.run_search(df, x, F.col("y"), "k", engine, train, ~train, tmp_path / "out")
+    assert (got["status"], got["best_equation"], got["best_r2"]) == ("success", "a * b", 1.0) and 0 < got["linear_r2"] < 1 and got["equations"][0]["loss"] == 0.5
+    assert (tmp_path / "out" / search.SNAPSHOT).exists()
+    program.write_text("raise SystemExit(3)")
+    with pytest.raises(RuntimeError):
+        search.run_search(df, x, F.col("y"), "k", engine, train, ~train, tmp_path / "out")
+    assert json.loads((tmp_path / "out" / "best_result.json").read_text())["status"] == "error"
+    with pytest.raises(ValueError):
+        search.external([sys.executable, str(program)], tmp_path / "work", most_rows=5)(df, x, F.col("y"), "k", None)
+
+
+def test_skeleton_over_a_table(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(1, 3, 5000), rng.uniform(1, 3, 5000)
+    df = spark.createDataFrame([(float(x), float(z), float(2.5 * x / (z + 0.7) + 1)) for x, z in zip(a, b, strict=True)] + [(1.0, 2.0, None)], "a double, b double, y double").repartition(5)
+    got = search.fit_skeleton_table(df, "params[0] * a / (b + params[1]) + params[2]", {"a": F.col("a"), "b": F.col("b")}, F.col("y"), sample=300)
+    assert got["params"] == pytest.approx([2.5, 0.7, 1], rel=1e-4) and got["r2"] > 0.999999
+    assert search.fit_skeleton_table(df, "a + nothing(", {"a": F.col("a")}, F.col("y"))["error"]
+
+
+def test_ranks_and_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    for n, values in ((300, 12), (400, 10**6), (3, 2), (1, 1)):
+        a, b = rng.integers(0, values, n).astype(float), rng.integers(0, values, n).astype(float)
+        b = np.where(rng.random(n) < 0.6, a, b)
+        df = spark.createDataFrame([(i, float(x), float(z)) for i, (x, z) in enumerate(zip(a, b, strict=True))] + [(n, None, 1.0)], "i long, a double, b double")
+        pairs = [(a[i] < a[j], b[i] < b[j]) for i in range(n) for j in range(i) if a[i] != a[j] and b[i] != b[j]]
+        got = stats.pairwise_agreement(df, "i", "a", "b").first()
+        assert got["pairs"] == len(pairs)
+        assert got["agreement"] == (pytest.approx(np.mean([x == y for x, y in pairs])) if pairs else None)
+        ranks = [pd.Series(x).rank().to_numpy() for x in (a, b)]
+        rho = stats.spearman(df, "a", "b").first()
+        assert rho["n"] == n
+        if n > 3:
+            assert rho["rho"] == pytest.approx(np.corrcoef(*ranks)[0, 1])
+
+
+def test_bootstrap_by_group(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i % 10) if i != 5 else None) for i in range(2000)], "i long, g string, v double").repartition(4)
+    got = {r["g"]: r for r in stats.bootstrap_by_weights(df, F.col("v"), F.col("i"), 200, 1, ["g"]).collect()}
+    for g, r in got.items():
+        v = np.array([float(i % 10) for i in range(2000) if "ab"[i % 2] == g and i != 5])
+        error = v.std() / np.sqrt(len(v))
+        assert r["n"] == len(v) and r["mean"] == pytest.approx(v.mean())
+        assert 1.3 < (r["mean"] - r["low"]) / error < 2.7 and 1.3 < (r["high"] - r["mean"]) / error < 2.7
+    assert stats.bootstrap_by_weights(df.limit(0), F.col("v"), F.col("i")).first()["low"] is None
