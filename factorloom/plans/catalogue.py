@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factorloom.functions import formula
 from factorloom.functions.numeric import fill, missing_flag, to_double
 from factorloom.operators import crossval, lineage, mine, prep, ratings, select, similarity, splits, stats
-from factorloom.operators.grammar import Grammar
+from factorloom.operators.grammar import Grammar, infer_features
 from factorloom.plans import experiments, search
 from factorloom.plans.oracle import scores, sql
 from factorloom.session import ship
@@ -172,14 +172,15 @@ def pool_top(spark, sf_dir):
     return spark.createDataFrame([(p["expression"], p["score"]) for p in pool], "expression string, score double")
 
 
-@query("source_union_collisions", "SELECT unnest(['p_partkey', 'size', 'price', 'b__price', 'extra']) AS column_name")
+@query("source_union_collisions", "SELECT unnest(['p_partkey', 'size', 'price', 'b__price', 'extra']) AS column_name, unnest([sum(p_partkey)::DOUBLE, sum(p_size)::DOUBLE, round(sum(p_retailprice), 2), round(sum(p_retailprice * 2), 2), count(*) * 1.5]::DOUBLE[]) AS total FROM part")
 def collisions(spark, sf_dir):
-    """Equal columns of one name merge, unlike ones are renamed after their source."""
+    """Equal columns of one name merge, unlike ones are renamed after their source; sums tell whose values they are."""
     df = table(spark, sf_dir, "part")
     left = df.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
     right = df.select("p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_retailprice") * 2).alias("price"), F.lit(1.5).alias("extra"))
     frame, _ = prep.union_sources(left, right, "p_partkey", "b")
-    return spark.createDataFrame([(c,) for c in frame.columns], "column_name string")
+    sums = frame.agg(*(F.round(F.sum(F.col(c).cast("double")), 2).alias(c) for c in frame.columns))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("total")) for c in frame.columns))).alias("x")).select("x.*")
 
 
 # --- schema, fills, scales ---
@@ -187,16 +188,15 @@ def collisions(spark, sf_dir):
 
 @query("finite_target_filter", "SELECT event_id, k FROM (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) WHERE k IS NOT NULL")
 def finite_target(spark, sf_dir):
-    df = table(spark, sf_dir, "events").withColumn("k", to_double(F.get_json_object("props", "$.k")))
-    return df.where("k is not null").select("event_id", "k")
+    df = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    return prep.finite_target(df, "k").select("event_id", F.col("__target").alias("k"))
 
 
-@query("numeric_only_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count(try_cast({c} AS DOUBLE)) AS BIGINT) AS n FROM events" for c in ("event_id", "user_id", "event_type", "value", "props")))
+@query("numeric_only_columns", "SELECT column_name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(try_cast({c} AS DOUBLE)) AS n FROM events" for c in ("user_id", "event_type", "props")) + ") WHERE n > 0")
 def numeric_only(spark, sf_dir):
-    df = table(spark, sf_dir, "events")
-    names = ["event_id", "user_id", "event_type", "value", "props"]
-    row = df.agg(*(F.count(to_double(F.col(c), df.schema[c].dataType)).alias(c) for c in names))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in names))).alias("x")).select("x.*")
+    """The columns that are inferred as features: neither id nor target, with a number in some row."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return spark.createDataFrame([(c,) for c in infer_features(df, Grammar(id_columns=("event_id",), target_columns=("value",)))], "column_name string")
 
 
 def labelled(spark, sf_dir) -> DataFrame:
@@ -247,10 +247,14 @@ def split_groups(spark, sf_dir):
     return splits.group_roles(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")
 
 
-@query("split_check", "SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS distinct_ids, 0::BIGINT AS repeated, 0::BIGINT AS missing, 0::BIGINT AS unknown, 0::BIGINT AS invalid FROM orders")
+@query("split_check", "WITH r AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 11 = 0) SELECT count(*)::BIGINT AS rows, count(DISTINCT o_orderkey)::BIGINT AS distinct_ids, (SELECT count(*) FROM (SELECT o_orderkey FROM r GROUP BY 1 HAVING count(*) > 1))::BIGINT AS repeated, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM r))::BIGINT AS missing, count(CASE WHEN o_orderkey < 0 THEN 1 END)::BIGINT AS unknown, (SELECT count(*) FROM orders WHERE o_orderkey % 11 = 0)::BIGINT AS invalid FROM r")
 def split_check(spark, sf_dir):
+    """Roles with rows left out, listed twice, and unknown ones under a role that there isn't."""
     df = table(spark, sf_dir, "orders")
-    return splits.check_roles(splits.hash_roles(df, "o_orderkey"), df, "o_orderkey")
+    roles = splits.hash_roles(df, "o_orderkey")
+    key = F.col("o_orderkey")
+    spoilt = roles.where(key % 10 != 0).unionByName(roles.where(key % 7 == 0)).unionByName(df.where(key % 11 == 0).select((-key).alias("o_orderkey"), F.lit("holdout").alias("role")))
+    return splits.check_roles(spoilt, df, "o_orderkey")
 
 
 @query("kfold_assignment", "SELECT o_orderkey, CAST(('0x' || substr(sha256('7|' || o_orderkey), 1, 12))::BIGINT % 5 AS INTEGER) AS fold FROM orders")
@@ -266,10 +270,10 @@ def zscore_train(spark, sf_dir):
     return prep.transform(rows, state, ["o_orderkey", "role"]).select("o_orderkey", "role", F.round("raw_o_totalprice", 6).alias("z"))
 
 
-@query("constant_column_drop", "SELECT unnest(['p_size', 'p_retailprice']) AS column_name, 'kept' AS state UNION ALL SELECT 'flat', 'constant'")
+@query("constant_column_drop", " UNION ALL ".join(f"SELECT '{n}' AS column_name, CASE WHEN stddev_pop({e}) > 1e-12 THEN 'kept' ELSE 'constant' END AS state FROM part" for n, e in (("p_size", "p_size"), ("p_retailprice", "p_retailprice"), ("flat", "p_size * 0 + 3"), ("brief", "length(p_name) * 0"))))
 def constant_drop(spark, sf_dir):
-    df = table(spark, sf_dir, "part").withColumn("flat", F.lit(3.0))
-    state = prep.fit(df, ["p_size", "p_retailprice", "flat"], Grammar())
+    df = table(spark, sf_dir, "part").withColumn("flat", F.col("p_size") * 0 + 3).withColumn("brief", F.length("p_name") * 0)
+    state = prep.fit(df, ["p_size", "p_retailprice", "flat", "brief"], Grammar())
     return spark.createDataFrame([(c, "kept") for c in state.columns] + list(state.dropped.items()), "column_name string, state string")
 
 
@@ -295,7 +299,8 @@ def corr_train(spark, sf_dir):
 @query("topk_features", f"SELECT expression AS feature, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, expression) AS k FROM ({_ranking_sql()})) WHERE k <= 2")
 def topk(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    return stats.corr_ranking(df, {c: F.col(c).cast("double") for c in _COLUMNS}, F.col(PRICE), digits=6).orderBy(F.desc("score"), "feature").limit(2).select("feature", "score")
+    best = prep.select_features(df, {c: F.col(c).cast("double") for c in _COLUMNS}, F.col(PRICE), top_k=2)
+    return spark.createDataFrame([(r["feature"], round(r["score"], 6)) for r in best], "feature string, score double")
 
 
 @query("feature_table_manifest", "SELECT count(*)::BIGINT AS rows, 1::BIGINT AS n_features, round(avg(CAST(o_custkey AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(o_custkey AS DOUBLE)), 6) AS scale, round(regr_r2(o_totalprice, o_custkey), 6) AS r2 FROM orders")
@@ -324,7 +329,7 @@ _evaluated("formula_eval_trig", ["sin(q) + cos(d)", "atan(q) - tanh(t)", "exp(-d
 _evaluated("formula_guards", ["q / d", "inv(t)", "log(d)", "log_abs(d)", "sqrt_abs(d - t)", "1 / (q - q)"])
 
 
-@query("numeric_consistency", "SELECT count(*)::BIGINT AS n, true AS consistent FROM lineitem")
+@query("numeric_consistency", f"SELECT count(a)::BIGINT AS n, bool_and(abs(a - b) <= 1e-8 + 1e-6 * abs(b)) AS consistent FROM (SELECT f2 * l_quantity - f1 AS a, {sql('(q * d + t) * q - q * d', LINE)} AS b FROM (SELECT *, f1 + l_tax AS f2 FROM (SELECT *, l_quantity * l_discount AS f1 FROM lineitem)))")
 def consistency(spark, sf_dir):
     df, x = line(spark, sf_dir)
     graph = lineage.Graph([lineage.Card("f1", "f1", "q * d"), lineage.Card("f2", "f2", "f1 + t")])
@@ -368,7 +373,7 @@ def verify(spark, sf_dir):
 @query("fold_scores", "WITH f AS (SELECT o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, ('0x' || substr(sha256('7|' || o_orderkey), 1, 12))::BIGINT % 3 AS fold FROM orders), m AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f, (SELECT unnest([0, 1, 2]) AS k) WHERE fold <> k GROUP BY k) SELECT CAST(fold AS INTEGER) AS fold, count(*)::BIGINT AS n, round(1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)), 6) AS r2 FROM f JOIN m ON fold = k GROUP BY fold")
 def fold_scores(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    rows = df.join(splits.folds(df, "o_orderkey", 3), "o_orderkey").cache()
+    rows = df.join(splits.folds(df, "o_orderkey", 3), "o_orderkey")
     x = [F.col("o_custkey").cast("double")]
     got = [(k, (s := crossval.fold_score(rows, x, F.col("o_totalprice"), F.col("fold") != k, F.col("fold") == k))["n"], round(s["r2"], 6)) for k in range(3)]
     return spark.createDataFrame(got, "fold int, n long, r2 double")
@@ -390,12 +395,12 @@ def surrogate(spark, sf_dir):
     return spark.createDataFrame([(r["equation"], r["r2_val"], r["complexity"]) for r in records], "equation string, r2_val double, nodes int")
 
 
-@query("skeleton_fit")
+@query("skeleton_fit", f"SELECT round(regr_slope(y, x), 3) AS p0, round(regr_intercept(y, x), 1) AS p1, round(regr_r2(y, x), 6) AS r2 FROM (SELECT {PRICE} AS y, {sql('q * (1 - d)', LINE)} AS x FROM lineitem)")
 def skeleton(spark, sf_dir):
-    """A skeleton with parameters fitted to a synthetic task; rows only."""
-    task = make_task("t", "2.5 * v1 / v2 + 1", 2, rows=(120, 40, 40), points=20)
-    got = search.fit_skeleton("params[0] * v1 / v2 + params[1]", {n: task.data[n].to_numpy() for n in task.names}, task.data["target"].to_numpy())
-    return spark.createDataFrame([(got["expression"], round(got["r2"], 6))], "expression string, r2 double")
+    """The parameters of a skeleton fitted to all of lineitem."""
+    df, x = line(spark, sf_dir)
+    got = search.fit_skeleton_table(df, "params[0] * q * (1 - d) + params[1]", x, F.col(PRICE))
+    return spark.createDataFrame([(round(got["params"][0], 3), round(got["params"][1], 1), round(got["r2"], 6))], "p0 double, p1 double, r2 double")
 
 
 @query("task_experiment")
@@ -430,8 +435,9 @@ def selector(spark, sf_dir):
 
 @query("standard_select", f"SELECT task, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY r2_val DESC, nodes, candidate_id) AS k FROM {_CANDIDATES_SQL}) WHERE k = 1")
 def standard(spark, sf_dir):
-    best = candidates(spark, sf_dir).groupBy("task").agg(F.min(F.struct((-F.col("r2_val")).alias("r"), "nodes", "candidate_id")).alias("b"))
-    return best.select("task", "b.candidate_id")
+    records = sorted((r.asDict() for r in candidates(spark, sf_dir).collect()), key=lambda r: (r["task"], r["candidate_id"]))
+    best = [select.best_accuracy([r for r in records if r["task"] == task], "nodes") for task in sorted({r["task"] for r in records})]
+    return spark.createDataFrame([(r["task"], r["candidate_id"]) for r in best], "task string, candidate_id string")
 
 
 _HISTORY_SQL = "(SELECT l_returnflag AS target, 'x' || (l_suppkey % 9) AS expression, CASE WHEN l_linenumber > 2 THEN round(l_discount * 10, 3) END AS r2, round(l_tax, 3) AS score, round(l_quantity, 3) AS loss, CAST(l_linenumber AS DOUBLE) AS complexity FROM lineitem)"
@@ -482,20 +488,37 @@ def inter_rater(spark, sf_dir):
 _BOTH = f"(SELECT h.item_id, h.v AS a, l.v AS b FROM (SELECT item_id, avg(overall) AS v FROM {_RATED} WHERE grp = 'human' GROUP BY 1) h JOIN (SELECT item_id, avg(overall) AS v FROM {_RATED} WHERE grp = 'llm' GROUP BY 1) l USING (item_id))"
 
 
-def both_groups(spark, sf_dir) -> DataFrame:
+def _rounded(value: float) -> float | None:
+    return None if value != value else round(value, 6)
+
+
+def agreed(spark, sf_dir) -> dict:
     df = rated(spark, sf_dir)
-    human, model = (ratings.item_means(df.where(F.col("grp") == g)) for g in ("human", "llm"))
-    return human.withColumnRenamed("overall", "a").join(model.withColumnRenamed("overall", "b"), "item_id")
+    return ratings.agreement(*(df.where(F.col("grp") == g) for g in ("human", "llm")))
 
 
 @query("rating_spearman", f"SELECT count(*)::BIGINT AS n, round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM {_BOTH})")
 def rating_spearman(spark, sf_dir):
-    return stats.spearman(both_groups(spark, sf_dir), "a", "b").select("n", F.round("rho", 6).alias("rho"))
+    got = agreed(spark, sf_dir)
+    return spark.createDataFrame([(got["n_common"], _rounded(got["spearman"]))], "n long, rho double")
 
 
 @query("rating_pairwise", f"WITH x AS (SELECT * FROM {_BOTH}) SELECT count(*)::BIGINT AS pairs, round(avg(CASE WHEN (p.a < q.a) = (p.b < q.b) THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM x p JOIN x q ON p.item_id < q.item_id AND p.a <> q.a AND p.b <> q.b")
 def rating_pairwise(spark, sf_dir):
-    return stats.pairwise_agreement(both_groups(spark, sf_dir), "item_id", "a", "b").select("pairs", F.round("agreement", 6).alias("agreement"))
+    got = agreed(spark, sf_dir)
+    return spark.createDataFrame([(got["pairs"], _rounded(got["pairwise"]))], "pairs long, agreement double")
+
+
+@query("pairwise_continuous", "WITH x AS (SELECT c_custkey AS i, c_acctbal AS a, sin(c_custkey) * 1000 + c_acctbal AS b FROM customer) SELECT count(*)::BIGINT AS pairs, round(avg(CASE WHEN (p.a < q.a) = (p.b < q.b) THEN 1.0 ELSE 0.0 END), 9) AS agreement FROM x p JOIN x q ON p.i < q.i AND p.a <> q.a AND p.b <> q.b")
+def pairwise_continuous(spark, sf_dir):
+    """Agreement of two measures with as many values as rows; no pair of rows is made."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), (F.sin(F.col("c_custkey")) * 1000 + F.col("c_acctbal")).alias("b"))
+    return stats.pairwise_agreement(df, "c_custkey", "a", "b").select("pairs", F.round("agreement", 9).alias("agreement"))
+
+
+@query("spearman_continuous", "SELECT count(*)::BIGINT AS n, round(corr(ra, rb), 9) AS rho FROM (SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS ra, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rb FROM lineitem)")
+def spearman_continuous(spark, sf_dir):
+    return stats.spearman(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity").select("n", F.round("rho", 9).alias("rho"))
 
 
 @query("rating_unblind", f"SELECT method, round(avg(overall), 6) AS mean_overall, count(*)::BIGINT AS n FROM (SELECT *, CASE item % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'mined' ELSE 'selector' END AS method FROM {_RATED} WHERE item < 150) GROUP BY method")
@@ -522,15 +545,36 @@ def resume(spark, sf_dir):
     return ratings.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", "SELECT count(*)::BIGINT AS n, round(avg(o_totalprice), 4) AS mean, true AS as_expected FROM orders")
 def bootstrap(spark, sf_dir):
-    """Bootstrap interval of a mean with Poisson weights, spread over the cluster; rows only."""
-    return stats.bootstrap_by_weights(table(spark, sf_dir, "orders"), F.col("o_totalprice"), F.col("o_orderkey"), draws=50)
+    """Bootstrap interval of a mean with Poisson weights: as wide as 1.96 standard errors each way, within a third."""
+    df = table(spark, sf_dir, "orders")
+    got = stats.bootstrap_by_weights(df, F.col("o_totalprice"), F.col("o_orderkey"))
+    error = df.agg((F.stddev_pop("o_totalprice") / F.sqrt(F.count(F.lit(1)))).alias("e")).scalar()
+    fine = ((F.col("mean") - F.col("low")) / error).between(1.3, 2.7) & ((F.col("high") - F.col("mean")) / error).between(1.3, 2.7)
+    return got.select("n", F.round("mean", 4).alias("mean"), fine.alias("as_expected"))
+
+
+@query("rating_intervals", f"SELECT grp, dimension, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, true AS inside FROM (UNPIVOT (SELECT grp, {', '.join((*_D, 'overall'))} FROM {_RATED}) ON {', '.join((*_D, 'overall'))} INTO NAME dimension VALUE value) GROUP BY ALL")
+def rating_intervals(spark, sf_dir):
+    """Means of each dimension by group, each inside its bootstrap interval."""
+    got = ratings.group_intervals(rated(spark, sf_dir), ["grp"], draws=100)
+    return got.select("grp", "dimension", "n", F.round("mean", 6).alias("mean"), (F.col("mean").between(F.col("low"), F.col("high")) & (F.col("high") > F.col("low"))).alias("inside"))
+
+
+@query("rating_candidates", "SELECT formula, method, seed, task_context, dataset_label, '[0,' || CAST(b AS INTEGER) || ']' AS first_range FROM (SELECT 'e' || l_linenumber AS formula, l_returnflag AS method, l_partkey AS seed, 'Find the relation behind the target y. Domain: ' || s_name || '.' AS task_context, 'task_' || substr(CAST(l_suppkey AS VARCHAR), 1, 3) AS dataset_label, s_nationkey AS b, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_partkey, 'e' || l_linenumber) AS n FROM (SELECT DISTINCT l_suppkey, l_returnflag, l_partkey, l_linenumber FROM lineitem WHERE l_linenumber <> 1) JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> 3) WHERE n = 1")
+def rating_items(spark, sf_dir):
+    """Runs joined with the catalogue of tasks: runs without a formula and tasks that it lacks have no item."""
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task_id"), F.col("l_returnflag").alias("method"), F.col("l_partkey").alias("seed"), F.when(F.col("l_linenumber") != 1, F.concat(F.lit("e"), "l_linenumber")).alias("expression"), F.lit("").alias("expanded_expression"), F.lit(0.5).alias("r2_test")).distinct()
+    catalogue = table(spark, sf_dir, "supplier").where("s_nationkey <> 3").select(F.col("s_suppkey").alias("task_id"), F.col("s_name").alias("name"), F.array(F.struct(F.lit("x").alias("name"), F.lit(0).alias("low"), F.col("s_nationkey").cast("int").alias("high"), F.lit("m").alias("meaning"))).alias("variables"))
+    return experiments.rating_candidates(runs, catalogue).select("formula", "method", "seed", "task_context", "dataset_label", F.col("variables")[0]["allowed_range"].alias("first_range"))
 
 
-@query("blind_export")
+@query("blind_export", " UNION ALL ".join(f"SELECT '{t}' AS formula, true AS hidden" for t in order_one(list(LINE))))
 def blind(spark, sf_dir):
-    """Items of formulas with their origin hidden; rows only."""
+    """Items of formulas with their origin hidden behind unlike ids."""
     texts = order_one(list(LINE))
-    items, _ = ratings.export_blind([{"formula": t, "method": "mined", "label": "lineitem"} for t in texts], seed=3)
-    return spark.createDataFrame([(i.item_id, i.formula) for i in items], "item_id string, formula string")
+    items, private = ratings.export_blind([{"formula": t, "method": "mined", "label": "lineitem"} for t in texts], seed=3)
+    ids = spark.createDataFrame([(i.item_id, i.formula, private[i.item_id]["orig_index"]) for i in items], "item_id string, formula string, at long")
+    once = ids.groupBy("item_id").agg(F.count(F.lit(1)).alias("k"))
+    return ids.join(once, "item_id").select("formula", (F.col("item_id").rlike("^item_[0-9a-f]{16}$") & (F.col("k") == 1)).alias("hidden"))
