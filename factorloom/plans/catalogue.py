@@ -103,12 +103,15 @@ def mined_topk(spark, sf_dir):
     return spark.createDataFrame([(e, s) for s, e in rows], "expression string, score double")
 
 
+def order_two(spark, sf_dir) -> tuple[list, dict]:
+    df, x = line(ship(spark), sf_dir)
+    return mine.mine(df, x, F.col(PRICE), line_key(), mine.Options(base_top_k=3, pair_top_k=12, beam_width=40, final_top_k=50))
+
+
 @query("mined_order2")
 def mined_order2(spark, sf_dir):
     """Beam search to order 2 over lineitem; rows only."""
-    df, x = line(spark, sf_dir)
-    found, _ = mine.mine(df, x, F.col(PRICE), line_key(), mine.Options(base_top_k=3, pair_top_k=12, beam_width=40, final_top_k=50))
-    return mine.factor_frame(spark, found)
+    return mine.factor_frame(spark, order_two(spark, sf_dir)[0])
 
 
 _VALID = ["q", "inv(d)", "(q / t)", "(q - q)", "log(q)", "exp(q * 20)", "sqrt_abs(d)"]

@@ -29,9 +29,15 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
     return spark
 
 
+#: Arrow batches of long texts; a Python worker holds several copies of one at a time.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package: by path where the machine is shared, else as a zip."""
+    """Let Python workers import this package, by path where the machine is shared, else as a zip, and bound their batches."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES).rstrip("b").isdigit() and int(spark.conf.get(BATCH_BYTES).rstrip("b")) > BATCH:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
     if context.environment.get("FACTORLOOM_SHIPPED"):
         return spark
     if context.master.startswith("local"):
