@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -32,20 +30,25 @@ class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names, so that no executor's loss costs a result.
 
     They replace checkpoint(): Parquet is smaller than serialised rows. drop() removes a table that
-    nothing reads any more.
+    nothing reads any more; the rest goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            root = "/tmp/checkpoints/factorloom"
-            own = f"{root}/{job}-{uuid.uuid4().hex}"
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            self.home = f"file://{own}"
-        else:
-            self.home = f"{root.rstrip('/')}/{job}-{uuid.uuid4().hex}"
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file:///tmp/checkpoints/factorloom"
+        self.home = f"{root.rstrip('/')}/{job}-{uuid.uuid4().hex}"
         self.made = 0
+        where, system = self._place(self.home)
+        system.mkdirs(where)
+        system.deleteOnExit(where)  # what drop() hasn't removed goes with the application
+
+    def _place(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table; the shuffle files that it took are deleted when it is written."""
@@ -63,11 +66,10 @@ class Scratch:
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
             if path := getattr(table, "_scratch_path", None):
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                where, system = self._place(path)
+                system.delete(where, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -157,9 +159,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     """(id, component): the least id that each id of edges(a, b) reaches.
 
     Large-star and small-star contraction: every round is two aggregations by key with map-side
-    combining and two joins that adaptive execution may split, so a hub needs no task of its own. Each
-    round's edges are written, which also cuts lineage. Null ends are dropped; loops and repeats are
-    harmless; no edges give no rows.
+    combining and two joins. The aggregates are written first, since adaptive execution splits a join's
+    large partitions only if both sides are plain; so a hub needs no task of its own. Each round's edges are
+    written, which also cuts lineage. Null ends are dropped; loops and repeats are harmless; no edges give no
+    rows.
     """
     now = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct()
     table = scratch.write(now, "edges")
@@ -168,18 +171,19 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
         if not mark[0]:
             break
         both = table.select("u", "v").unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = scratch.write(small, "edges")
-        scratch.drop(table)
+        scratch.drop(table, least, large, low)
         table, before, mark = after, mark, _mark(after)
         if mark == before:
             break
     else:
         raise RuntimeError("components did not settle")
-    return table.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(table.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    both = table.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(table.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return scratch.write(both.distinct(), "components")
 
 
 def _mark(table: DataFrame) -> tuple:

@@ -27,14 +27,14 @@ ALL = (1 << BITS) - 1
 GROUP_ROWS = 4096
 #: Candidates by min-hashes: a key is shared by 0.9996 of pairs with similarity 0.8, as 1 - (1 - 0.8 ** 5) ** 20.
 BANDS, BAND_ROWS = 20, 5
-#: Texts of a block, and of 256 bits the most that pairs to be compared differ in: 38 is the mean at 0.8, 128 that of unlike ones.
-BLOCK, FAR_BITS = 1024, 80
+#: Texts of a block.
+BLOCK = 1024
 #: A probe's cost in comparisons: a row shuffled and sorted.
 PROBE_COST = 60.0
 _LANES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-#: Odd multipliers of the further words, fixed so that fingerprints compare across runs.
-_MORE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: The multiplier that mixes min-hashes into a key.
+MIX = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -61,31 +61,21 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: bytes, width: int = 3, words: int = 1) -> tuple[int, ...]:
-    """One 64-bit majority fingerprint, then words - 1 further ones from remixed hashes for verification."""
-    hashes = shingle_hashes(text, width)
-    out = [majority(hashes)]
-    for k in range(words - 1):
-        mixed = hashes * np.uint64(_MORE[k])
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(_MORE[(k + 1) % 3])
-        mixed ^= mixed >> np.uint64(29)
-        out.append(majority(mixed))
-    return tuple(out)
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The 64-bit majority fingerprint of a whole text."""
+    return majority(shingle_hashes(text, width))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0 .. f{words-1}) for every row; null and empty texts have fingerprint 0."""
-    names = [f"f{i}" for i in range(words)]
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names)])
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f0) for every row; null and empty texts have fingerprint 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_py(), width, words) for t in batch.column(1)]
-            table = np.array(prints, np.uint64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed(table[:, i])) for i in range(words))], schema=schema)
+            prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(prints))], schema=schema)
 
-    return id_and_text(docs, id_col, text_col, binary=True).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return id_and_text(docs, id_col, text_col, binary=True).mapInArrow(run, "doc_id long, f0 long")
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -240,61 +230,75 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2, id_col: str =
 
     Documents link if their fingerprints differ in at most tau bits. Equal fingerprints are one node, so copies cost one row however many
     they are. Null and empty texts have fingerprint 0 and link like others; repeated rows keep one
-    output row each; an empty table gives no rows; extra columns are ignored.
+    output row each; a null doc_id stays null and is never the least, so component_id is null where no row has an id;
+    an empty table gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    prints = scratch.write(fingerprints(docs, width, 1, id_col, text_col), "prints")
-    reps = scratch.write(prints.groupBy("f0").agg(F.min("doc_id").alias("rep")), "reps")
-    classes = components(links(reps, scratch, tau), scratch)
-    named = reps.join(classes, reps["rep"] == classes["id"], "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "f0").select("doc_id", "f0", "component_id")
+    prints = scratch.write(fingerprints(docs, width, id_col, text_col), "prints")
+    nodes = scratch.write(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "nodes")
+    classes = components(links(nodes.select(F.col("f0").alias("rep"), "f0"), scratch, tau), scratch)
+    placed = nodes.join(classes, nodes["f0"] == classes["id"], "left").select("f0", "least", F.coalesce("component", "f0").alias("node"))
+    named = placed.groupBy("node").agg(F.min("least").alias("component_id"))
+    facts = scratch.write(placed.join(named, "node").select("f0", "component_id"), "facts")
+    return prints.join(facts, "f0").select("doc_id", "f0", "component_id")
 
 
 def candidate_keys(docs: DataFrame, width: int) -> DataFrame:
-    """(uid, f0 .. f3, keys) of rows(uid, body): four fingerprint words, and BANDS keys of BAND_ROWS min-hashes each."""
-    names = [f"f{i}" for i in range(4)]
-    schema = pa.schema([("uid", pa.int64()), *((n, pa.int64()) for n in names), ("keys", pa.list_(pa.int64()))])
+    """(uid, f0, keys) of rows(uid, body): the fingerprint, and BANDS keys of BAND_ROWS min-hashes each. A text is taken once in a task."""
+    schema = pa.schema([("uid", pa.int64()), ("f0", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.random.default_rng(7).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        seen: set[int] = set()
         for ids, bodies in text_blocks(batches):
-            table = np.array([fingerprint(t, width, 4) for t in bodies], np.uint64).reshape(-1, 4)
-            keys = np.zeros((len(bodies), BANDS), np.uint64)
+            fresh = [i for i, uid in enumerate(ids) if uid not in seen and not seen.add(uid)]
+            ids, bodies = [ids[i] for i in fresh], [bodies[i] for i in fresh]
+            if len(seen) > 1 << 20:
+                seen.clear()
+            prints, keys = np.zeros(len(bodies), np.uint64), np.zeros((len(bodies), BANDS), np.uint64)
             for i, t in enumerate(bodies):
                 hashes = shingle_hashes(t, width)
+                prints[i] = majority(hashes)
+                hashes = np.unique(hashes)
                 hashes ^= hashes >> np.uint64(32)
                 least = np.zeros(len(odd), np.uint64)
                 for k in range(len(odd) if len(hashes) else 0):
                     least[k] = (hashes * odd[k]).min()
                 for r in range(BAND_ROWS):
-                    keys[i] = (keys[i] ^ least[r::BAND_ROWS]) * np.uint64(_MORE[0])
+                    keys[i] = (keys[i] ^ least[r::BAND_ROWS]) * np.uint64(MIX)
                     keys[i] ^= keys[i] >> np.uint64(31)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(signed(table[:, i])) for i in range(4)), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(signed(prints)), pa.array(signed(keys).tolist(), pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select("uid", "body").mapInArrow(run, "uid long, f0 long, f1 long, f2 long, f3 long, keys array<long>")
+    return docs.select("uid", "body").mapInArrow(run, "uid long, f0 long, keys array<long>")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets; two empty ones: 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-    return shared / (len(a) + len(b) - shared)
+def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph of sets (sorted, without repeats) with a Jaccard similarity of at least `least`; empty sets equal each other.
 
-
-def similar_forest(prints: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of sets with a Jaccard similarity of at least `least`."""
-    waiting, edges, sizes = np.arange(len(sets)), [], np.array([len(s) for s in sets])
+    A set is compared with all that wait at once: its members are flagged, and the flags of each other set added up.
+    """
+    sizes = np.array([len(s) for s in sets])
+    member = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel() if sizes.any() else np.empty(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    waiting, edges = np.arange(len(sets)), []
+    held, rows = member, np.arange(len(sets))  # members of the sets in rows, which are few more than those that wait
+    flags = np.zeros(int(member.max(initial=0)) + 1, np.int32)
     while len(waiting) > 1:
         front, waiting = [int(waiting[0])], waiting[1:]
         while front and len(waiting):
             at = front.pop()
-            apart = np.bitwise_count(prints[waiting] ^ prints[at]).sum(axis=1, dtype=np.int64)
-            small, large = np.minimum(sizes[waiting], sizes[at]), np.maximum(sizes[waiting], sizes[at])
-            near = (apart <= FAR_BITS) & (small >= least * large)
-            for i in np.flatnonzero(near).tolist():
-                near[i] = jaccard(sets[at], sets[waiting[i]]) >= least
+            if len(waiting) < len(rows) // 2:
+                rows = waiting
+                held = np.concatenate([member[starts[i] : starts[i] + sizes[i]] for i in rows.tolist()])
+            mine = member[starts[at] : starts[at] + sizes[at]]
+            flags[mine] = 1
+            until = np.append(0, np.cumsum(flags[held]))
+            flags[mine] = 0
+            ends = np.cumsum(sizes[rows])
+            shared = (until[ends] - until[ends - sizes[rows]])[np.searchsorted(rows, waiting)]
+            union = sizes[waiting] + sizes[at] - shared
+            near = shared >= least * union
             found = waiting[near].tolist()
             edges += [(at, x) for x in found]
             front += found
@@ -306,32 +310,30 @@ def similar_texts(rows: DataFrame, scratch: Scratch, least: float, width: int =
     """(id, component) of texts of rows(key, uid, body) that pairs with a Jaccard similarity of at least `least` connect.
 
     uid stands for the text. Candidates share a class by fingerprints within tau bits or by a key of
-    min-hashes; in a class all pairs are compared, by their sets of runs of `width` words. A class of over
+    min-hashes; in a class all pairs are compared, by their sets of runs of `width` words (32-bit hashes). A class of over
     BLOCK texts is dealt into blocks, and each two blocks meet in a group of their own.
     """
-    names = [f"f{i}" for i in range(4)]
     firsts = scratch.write(rows.groupBy("uid").agg(F.min("key").alias("key")), "firsts")
     prints = scratch.write(candidate_keys(rows, width).dropDuplicates(["uid"]), "prints")
     keyed = prints.select("uid", F.posexplode("keys").alias("band", "value"))
-    heads = keyed.groupBy("band", "value").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = scratch.write(keyed.groupBy("band", "value").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "heads")
     by_band = keyed.join(heads, ["band", "value"]).select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
     reps = scratch.write(prints.groupBy("f0").agg(F.min("uid").alias("rep")), "reps")
     by_print = prints.join(reps, "f0").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
     loose = components(by_band.unionByName(by_print).unionByName(links(reps, scratch, tau)).where("a <> b"), scratch)
-    blocks = loose.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = scratch.write(loose.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = loose.join(blocks, "component").select(F.col("id").alias("uid"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine")))
     cell = F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")
     asked = dealt.select("uid", "component", "blocks", "mine", F.explode(cells).alias("other")).withColumn("cell", cell).groupBy("uid", "component").agg(F.collect_list("cell").alias("cells"))
-    part = pa.schema([("component", pa.int64()), ("cell", pa.int64()), ("uid", pa.int64()), *((n, pa.int64()) for n in names), ("runs", pa.binary())])
+    part = pa.schema([("component", pa.int64()), ("cell", pa.int64()), ("uid", pa.int64()), ("runs", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                runs = np.unique(shingle_hashes(at["body"][i].as_py(), width)).tobytes()
-                fixed = [at[n][i].as_py() for n in ("uid", *names)]
-                yield rows_to_batch([(at["component"][i].as_py(), c, *fixed, runs) for c in at["cells"][i].as_py()], part)
+                runs = np.unique((shingle_hashes(at["body"][i].as_py(), width) >> np.uint64(32)).astype(np.uint32)).tobytes()
+                yield rows_to_batch([(at["component"][i].as_py(), c, at["uid"][i].as_py(), runs) for c in at["cells"][i].as_py()], part)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -343,15 +345,14 @@ def similar_texts(rows: DataFrame, scratch: Scratch, least: float, width: int =
             block = {n: np.concatenate([x[n] for x in held]) for n in block} if len(held) > 1 else block
             edges = np.append(bounds[bounds < len(block["uid"])], len(block["uid"])) if len(held) == 1 else np.array([0, len(block["uid"])])
             held, out = [], []
-            table = np.stack([block[n] for n in names], axis=1).view(np.uint64)
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                sets = [np.frombuffer(r, np.uint64) for r in block["runs"][x:y]]
-                out += [(int(block["uid"][x + a]), int(block["uid"][x + b])) for a, b in similar_forest(table[x:y], sets, least)]
+                sets = [np.frombuffer(r, np.uint32) for r in block["runs"][x:y]]
+                out += [(int(block["uid"][x + a]), int(block["uid"][x + b])) for a, b in similar_forest(sets, least)]
             if out:
                 yield rows_to_batch(out, schema)
 
-    whole = rows.join(asked.join(firsts, "uid").join(prints.select("uid", *names), "uid"), ["uid", "key"]).dropDuplicates(["uid"])
-    parts = whole.select("uid", "component", "cells", *names, "body").mapInArrow(cut, "component long, cell long, uid long, f0 long, f1 long, f2 long, f3 long, runs binary")
+    whole = rows.join(asked.join(firsts, "uid"), ["uid", "key"]).dropDuplicates(["uid"])
+    parts = whole.select("uid", "component", "cells", "body").mapInArrow(cut, "component long, cell long, uid long, runs binary")
     found = parts.repartition(shuffle_width(rows.sparkSession), "component", "cell").sortWithinPartitions("component", "cell", "uid").mapInArrow(compare, "a long, b long")
     return components(scratch.write(found, "similar"), scratch)
 
