@@ -7,7 +7,8 @@ bytes around; any fixed order will do, as long as suffixes that share SEED bytes
 
 New batches get an array, are merge-scanned against each level for shared heads, and levels of equal size
 merge into one of twice the size. Suffixes with a shared head are then resolved to the byte: equal
-surroundings repeat as a whole, and for the others all windows of LENGTH bytes around are compared.
+surroundings repeat as a whole, and for the others all windows of LENGTH bytes around are compared, all
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -101,8 +102,15 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return text, position, after, head[at], around
 
 
-ENTRY = pa.schema([("head", pa.int64()), ("around", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("position", pa.int32()), ("after", pa.int16())])
-ENTRY_SPARK = "head long, around long, doc_id long, th int, position int, after short"
+#: What an entry's row is: one of the arrays, one whose head is known to be shared, or a range that is known to repeat.
+IN_ARRAY, SHARED, REPEATED = 0, 1, 2
+#: Entries of one head in a block from which on only a mark of the head goes to the arrays.
+OFTEN = 16
+#: Bytes of texts hashed at once, and entries that make a block.
+TEXT_BLOCK, AT_ONCE = 1 << 18, 200_000
+ENTRY = pa.schema([("kind", pa.int8()), ("head", pa.int64()), ("around", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int32()), ("position", pa.int32()), ("after", pa.int16())])
+ENTRY_SPARK = "kind byte, head long, around long, n int, doc_id long, th int, position int, after short"
+ROW = [name for name in ENTRY.names if name != "kind"]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[dict[str, list], list[bytes]]]:
@@ -132,32 +140,100 @@ def short_hash(text: Column) -> Column:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """The suffix array entries of documents(doc_id, th, body), unsorted."""
+    """The suffix array entries of documents(doc_id, th, body), unsorted, after what a block of them tells by itself.
+
+    Entries of a block with equal surroundings repeat: their ranges are done, and one of them stands for all
+    with n = 2; n = 1 is an entry alone. Of a head with OFTEN or more entries in the block only a mark, without a
+    document, goes to the arrays. So a passage that many texts hold is no key of many rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, bodies in _blocks(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        for columns, bodies in _blocks(batches, TEXT_BLOCK):
             text, position, after, head, around = anchors(bodies)
-            ids, ths = np.array(columns["doc_id"], np.int64), np.array(columns["th"], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(head)), pa.array(signed(around)), pa.array(ids[text]), pa.array(ths[text]), pa.array(position.astype(np.int32)), pa.array(after.astype(np.int16))], schema=ENTRY)
+            if len(text):
+                ids, ths = np.array(columns["doc_id"], np.int64)[text], np.array(columns["th"], np.int32)[text]
+                held.append((head, around, ids, ths, position.astype(np.int32), after.astype(np.int16)))
+            if sum(len(x[0]) for x in held) >= AT_ONCE:
+                yield from _aggregated(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield from _aggregated(*map(np.concatenate, zip(*held, strict=True)))
 
     return docs.mapInArrow(run, ENTRY_SPARK)
 
 
+def _aggregated(head: np.ndarray, around: np.ndarray, ids: np.ndarray, ths: np.ndarray, position: np.ndarray, after: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((position, ids, around, head))
+    head, around, ids, ths, position, after = (x[order] for x in (head, around, ids, ths, position, after))
+    firsts, sizes = _runs(head, around)
+    again = np.repeat(sizes > 1, sizes) & (np.minimum(position, BEFORE) + after >= LENGTH)
+    parts = [(REPEATED, np.flatnonzero(again), np.ones(len(head), np.int32))]
+    count = np.zeros(len(head), np.int32)
+    count[firsts] = np.minimum(sizes, 2)
+    heads, kinds = _runs(head[firsts])
+    often = np.repeat(kinds >= OFTEN, kinds)
+    parts += [(SHARED, firsts[often], count), (IN_ARRAY, firsts[~often], count)]
+    for kind, at, n in parts:
+        yield _entry_rows(kind, head[at], around[at], n[at], ids[at], ths[at], position[at], after[at])
+    marks = head[firsts[heads[kinds >= OFTEN]]]
+    none, zero = np.ma.masked_all(len(marks), np.int64), np.zeros(len(marks), np.int64)
+    yield _entry_rows(IN_ARRAY, marks, zero, zero + 2, none, zero, zero, zero)
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal rows."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    firsts = np.flatnonzero(new)
+    return firsts, np.diff(np.append(firsts, len(new)))
+
+
+def _entry_rows(kind: int, head: np.ndarray, around: np.ndarray, n: np.ndarray, ids: np.ndarray, ths: np.ndarray, position: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(head), kind, np.int8), signed(head), signed(around), n, ids, ths, position, after]
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, ENTRY, strict=True)], schema=ENTRY)
+
+
 class SuffixArrays:
-    """The family of levels: add() takes a batch of entries, shared() has all heads seen more than once.
+    """The family of levels: add() takes a batch of entries, shared() the entries whose heads it has met more than once.
 
-    Each array is a table bucketed and sorted by head, so a merge-scan of two of them shuffles nothing.
+    Each array is a table bucketed and sorted by head, so a merge-scan of two of them shuffles nothing. A family
+    with a home of its own outlives the session: see stored() and save().
     """
 
-    def __init__(self, scratch: Scratch):
+    def __init__(self, scratch: Scratch, home: str | None = None):
         self.scratch, self.spark = scratch, scratch.spark
+        self.home = (home or scratch.home).rstrip("/")
         self.width = shuffle_width(self.spark)
         self.levels: list[tuple[int, str, str]] = []  # size in batches, table, path
         self.heads: list[DataFrame] = []
 
+    @classmethod
+    def stored(cls, scratch: Scratch, home: str) -> SuffixArrays:
+        """The family that save() left in a folder, or a new one for it; its arrays keep their buckets."""
+        out = cls(scratch, home)
+        where, system = scratch._place(f"{out.home}/levels.json")
+        if system.exists(where):
+            rows = out.spark.read.schema("size int, path string, width int").json(f"{out.home}/levels.json").orderBy(F.desc("size")).collect()
+            for r in rows:
+                out.width, name = r["width"], f"factorloom_sa_{uuid.uuid4().hex}"
+                columns = ENTRY_SPARK.removeprefix("kind byte, ").replace("short", "smallint")
+                out.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (head) SORTED BY (head, around) INTO {r['width']} BUCKETS LOCATION '{r['path']}'")
+                out.levels.append((r["size"], name, r["path"]))
+        return out
+
+    def save(self) -> None:
+        """Note the levels in the folder; their tables stay, and only the session's names for them go."""
+        rows = [(size, path, self.width) for size, _, path in self.levels]
+        self.spark.createDataFrame(rows, "size int, path string, width int").coalesce(1).write.mode("overwrite").json(f"{self.home}/levels.json")
+        for _, name, _ in self.levels:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(*self.heads)
+        self.levels, self.heads = [], []
+
     def _array(self, rows: DataFrame) -> tuple[str, str]:
         name = f"factorloom_sa_{uuid.uuid4().hex}"
-        path = f"{self.scratch.home}/{name}"
+        path = f"{self.home}/{name}"
         rows.repartition(self.width, "head").sortWithinPartitions("head", "around").write.option("compression", "zstd").option("path", path).bucketBy(self.width, "head").sortBy("head", "around").saveAsTable(name)
         return name, path
 
@@ -170,7 +246,7 @@ class SuffixArrays:
     def add(self, batch: DataFrame) -> None:
         name, path = self._array(batch)
         mine = self.spark.table(name)
-        found = mine.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
+        found = mine.groupBy("head").agg(F.sum("n").alias("n")).where("n > 1").select("head")
         heads = mine.select("head").distinct()
         for _, other, _ in self.levels:
             found = found.unionByName(heads.join(self.spark.table(other).select("head").distinct(), "head"))
@@ -321,21 +397,37 @@ def _parts(block: dict[str, np.ndarray], anywhere: bool) -> Iterator[dict[str, n
         at = cut
 
 
-def repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, th, a, b): byte ranges that the repeated strings of documents(doc_id, th, body) cover, unmerged."""
-    family = SuffixArrays(scratch)
-    rows = entries(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    kept = scratch.write(rows, "entries")
-    for b in range(batches):
-        family.add(kept.where(F.col("batch") == b).drop("batch"))
-    scratch.drop(kept)
-    shared = scratch.write(family.shared(), "shared")
-    family.close()
-    groups = scratch.write(shared.groupBy("head", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "position")).alias("one")), "groups")
-    whole = shared.join(groups.where("n > 1").select("head", "around"), ["head", "around"], "left_semi")
+def repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, home: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """(doc_id, th, a, b): byte ranges that the repeated strings of documents(doc_id, th, body) cover, unmerged.
+
+    With a home, docs are added to the family that is stored there: their arrays are merge-scanned against its
+    levels, and the ranges are those of strings that docs share with each other or with `earlier`, the documents
+    added before, in both. What earlier documents share among themselves was told when they came.
+    """
+    family = SuffixArrays.stored(scratch, home) if home else SuffixArrays(scratch)
+    kept = scratch.write(entries(docs), "entries")
+    batch = F.pmod(F.xxhash64(F.coalesce("doc_id", "head")), F.lit(batches))
+    # Later documents are compared with every entry that is stored.
+    fit = F.col("kind").isin(IN_ARRAY, SHARED) & F.col("doc_id").isNotNull() if home else F.col("kind") == IN_ARRAY
+    done = False
+    try:
+        for b in range(batches):
+            family.add(kept.where(fit & (batch == b)).select(*ROW))
+        found = family.shared().where("doc_id is not null")
+        shared = scratch.write(found if home else found.unionByName(kept.where(F.col("kind") == SHARED).select(*ROW)), "shared")
+        done = True
+    finally:
+        if home and done:
+            family.save()
+        elif not home:
+            family.close()
+    if earlier is not None:
+        docs = docs.unionByName(earlier)
+    groups = scratch.write(shared.groupBy("head", "around").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "th", "position")).alias("one")), "groups")
+    whole = shared.join(groups.where("n > 1").select("head", "around"), ["head", "around"], "left_semi").unionByName(kept.where(F.col("kind") == REPEATED).select(*ROW))
     first = F.greatest(F.lit(0), F.col("position") - BEFORE)
     covered = whole.select("doc_id", "th", first.cast("int").alias("a"), (F.col("position") + F.col("after")).cast("int").alias("b")).where(F.col("b") - F.col("a") >= LENGTH)
-    many = groups.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("head", (F.col("kinds") > GROUP_ROWS).alias("many"))
+    many = scratch.write(groups.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("head", (F.col("kinds") > GROUP_ROWS).alias("many")), "many")
     asked = groups.join(many, "head").select("one.doc_id", "one.th", F.struct(F.col("one.position").alias("position"), "head", (F.col("n") == 1).alias("alone"), "many").alias("x")).groupBy("doc_id", "th").agg(F.collect_list("x").alias("asked"))
     # Surroundings on repeated rows are cut out for each; they don't stand alone, so that changes nothing.
     found = scratch.write(_compare(_cut_out(docs.join(asked, ["doc_id", "th"]))), "found")
