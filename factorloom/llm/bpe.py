@@ -403,7 +403,7 @@ def decode_pieces(merges: MergeList, ids: bytes, block: int = 65536) -> Iterator
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row.
 
-    Null and empty texts have no ids and decode to the empty text; repeated rows give repeated rows; an
+    Null and empty texts have no ids and decode to the empty text; repeated rows give repeated rows; a null doc_id stays null; an
     empty table gives no rows; extra columns are ignored; texts of any length are encoded whole.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

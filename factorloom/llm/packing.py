@@ -163,7 +163,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
     TASKS_TOGETHER tasks, which the trainer pads to the longest tier. Ids are computed once and never
     shuffled, but for the few rests that tasks leave; numbering follows the tasks over the input's files,
     so it is the same when a task is repeated. Null and empty texts are the end_id alone; repeated rows are packed
-    each; an empty table gives no rows; extra columns are ignored; memory holds POOL rests and a text.
+    each; a null doc_id stays null; an empty table gives no rows; extra columns are ignored; memory holds POOL rests and a text.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
     def second(key: tuple, table: pa.Table) -> pa.Table:
         out = Writer(SECOND | key[0].as_py() << 32, step_tokens)
         packer = Packer(tiers, out.window)
-        rows = sorted(table.select(["task", "doc_id", "start", "doc_tokens", "ids"]).to_pylist(), key=lambda r: (r["task"], r["doc_id"], r["start"]))
+        rows = sorted(table.select(["task", "doc_id", "start", "doc_tokens", "ids"]).to_pylist(), key=lambda r: (r["task"], r["doc_id"] is None, r["doc_id"] or 0, r["start"]))
         for r in rows:
             packer.add(r["doc_id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4"))
         packer.pack()
