@@ -23,6 +23,8 @@ K, S = 5, 2
 SKETCH = 64
 SPACES = " \t\n\x0b\x0c\r"
 CELLS = 256
+#: Ranges of ids for each shuffle partition: so many that their hashes fill partitions about evenly.
+RANGES = 12
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -122,7 +124,7 @@ def order_buckets(docs: DataFrame, id_col: str) -> Column:
     """
     row = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / CELLS for i in range(CELLS + 1)], 10_000).alias("q")).first()
     edges = sorted(set(row["q"] or [0]))
-    within = max(1, ceil(4 * shuffle_width(docs.sparkSession) / len(edges)))
+    within = max(1, ceil(RANGES * shuffle_width(docs.sparkSession) / len(edges)))
     table = F.array(*(F.lit(int(e)).cast("long") for e in edges))
     at = F.col(id_col).cast("long")
     cell = F.size(F.filter(table, lambda e: e <= at))
@@ -131,12 +133,12 @@ def order_buckets(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce((cell * within + F.coalesce(part, F.lit(0))).cast("long"), F.lit(-1).cast("long"))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs(doc_id, text, ..) with next_<c> for each of columns: that of the document with the next lower id.
+def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """docs(doc_id, text) and what is derived from text, with next_<c> of each: that of the document with the next lower id.
 
     After the last comes the first. The rows are shuffled once, by ranges of ids; the first row of each
-    range is added to the range above it, so no row needs another partition. Equal ids follow each other
-    by text.
+    range is added to the range above it, so no row needs another partition. Those few rows are picked before
+    anything is derived from them. Equal ids follow each other by text.
     """
     docs = docs.withColumn("bucket", order_buckets(docs, "doc_id"))
     tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))
@@ -144,11 +146,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     # A row for each range: above is the range whose last document is followed by this one's first.
     ranges = tops.withColumn("above", F.coalesce(F.lag("bucket").over(line), F.min("bucket").over(Window.partitionBy()))).select(F.col("bucket").alias("b"), "top", "above")
     heads = docs.join(F.broadcast(ranges), (docs["bucket"] == ranges["b"]) & docs["doc_id"].eqNullSafe(ranges["top"]))
-    heads = heads.groupBy("above", "doc_id").agg(F.min_by(F.struct(*columns), "text").alias("head")).select(F.col("above").alias("bucket"), "doc_id", "head.*", F.lit(1).alias("added"))
-    rows = docs.withColumn("added", F.lit(0)).unionByName(heads, allowMissingColumns=True)
+    heads = heads.groupBy("above", "doc_id").agg(F.min("text").alias("text")).select(F.col("above").alias("bucket"), "doc_id", "text", F.lit(1).alias("added"))
+    rows = docs.withColumn("added", F.lit(0)).unionByName(heads).withColumns(derived)
     order = Window.partitionBy("bucket").orderBy("added", F.desc_nulls_last("doc_id"), "text")
-    for c in columns:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *derived)})
     return rows.where("added = 0").drop("added", "bucket")
 
 
@@ -158,10 +159,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The
     edited text has its last third replaced by the start of the next document's, by descending id. Null
     texts count as empty; texts without words have the empty fingerprint, alike to each other alone;
-    repeated rows follow one another; a lone document is its own next; extra columns are ignored.
+    repeated rows follow one another; rows with a null id come after all others and keep it; a lone document is its own next; extra columns are ignored.
     """
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text")))
-    rows = with_next(base, ["text", "sketch"])
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    rows = with_next(base, {"sketch": sketch(F.col("text"))})
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
