@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance by path joins.
 
-DataFrame functions only. A header is a line with one of the key terms; a file named like a licence is
-compared as a whole too. Equal headers are compared once, however many files carry them.
+DataFrame functions only. A header is a line with one of the key terms, by itself and with the lines
+around it; a file named like a licence gives all its paragraphs. Equal headers are compared once, however
+many files carry them.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from factorloom.llm.common import Scratch
 
 #: A header's least cosine to a template.
 LEAST = 0.5
+#: Lines before and behind a key line that a notice may take.
+BEFORE, BEHIND = 2, 6
 # The usual short notices of public licences.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -32,8 +35,35 @@ TEMPLATES = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
     ("Unlicense", "Released under the Unlicense."),
 )
-#: Every template has one of these, and without them no line comes near LEAST.
-KEYS = "licen[cs]e|licensed|copyright|spdx|public domain"
+# Titles, and opening or granting paragraphs, of the licences' own texts and notices.
+PARAGRAPHS = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+#: Licences whose identifier also comes as -only and -or-later.
+GNU = ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0")
+#: Every notice has one of these, and without them no line comes near LEAST.
+KEYS = "licen[cs]e|licensed|copyright|spdx|public domain|permission is hereby granted|permission to use, copy"
 LICENCE_FILE = "(?i)^(un)?(licen[cs]e|copying|notice)([-._].*)?$"
 SPLIT = "[^a-z0-9.+-]+"
 
@@ -43,16 +73,28 @@ def terms(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), SPLIT), lambda w: F.regexp_replace(w, "[.]+$", "")), lambda w: w != "")
 
 
+def template_list() -> list[tuple[str, str]]:
+    """(license, text) of notices, paragraphs and SPDX lines."""
+    found = [*NOTICES, *PARAGRAPHS]
+    for name, _ in NOTICES:
+        found += [(name, f"SPDX-License-Identifier: {name}{more}") for more in ("", "-only", "-or-later") if not more or name in GNU]
+    return found
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, unit)")
+    """(license, template, unit): a fixed list."""
+    rows = ", ".join(f"('{name}', {i}, '{text}')" for i, (name, text) in enumerate(template_list()))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(license, template, unit)")
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(fid, u, unit): the header lines of files(fid, path, text), and the whole of files named like a licence; u is their digest."""
-    lines = F.filter(F.split("text", "\r?\n"), lambda x: F.lower(x).rlike(KEYS))
-    whole = F.when(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & (F.col("text") != ""), F.array("text")).otherwise(F.array().cast("array<string>"))
-    return files.where(F.lower("text").rlike(KEYS)).select("fid", F.explode(F.array_distinct(F.concat(lines, whole))).alias("unit")).withColumn("u", F.md5(F.col("unit").cast("binary")))
+    """(fid, u, unit): the headers of files(fid, path, text), and the paragraphs of files named like a licence; u is their digest."""
+    lines = F.split("text", "\r?\n")
+    keyed = F.filter(lines, lambda x: F.lower(x).rlike(KEYS))
+    blocks = F.filter(F.transform(lines, lambda x, i: F.when(F.lower(x).rlike(KEYS), F.array_join(F.slice(lines, F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE)) + 1 + BEHIND), "\n"))), lambda x: x.isNotNull())
+    paragraphs = F.filter(F.split("text", "\r?\n[ \t]*\r?\n"), lambda x: F.trim(x) != "")
+    whole = F.when(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), paragraphs).otherwise(F.array().cast("array<string>"))
+    return files.where(F.lower("text").rlike(KEYS)).select("fid", F.explode(F.array_distinct(F.concat(keyed, blocks, whole))).alias("unit")).withColumn("u", F.md5(F.col("unit").cast("binary")))
 
 
 def _weighted(units: DataFrame, key: str, idf: DataFrame) -> DataFrame:
@@ -66,21 +108,20 @@ def _weighted(units: DataFrame, key: str, idf: DataFrame) -> DataFrame:
 def classify(found: DataFrame) -> DataFrame:
     """(u, license, cosine): the nearest template of each distinct header of found(u, unit), if at least LEAST.
 
-    Inverse document frequencies count all headers of the corpus, repeats included, and the templates.
-    Ties go to the first name.
+    Inverse document frequencies count all headers of the corpus, repeats included, and the templates, so
+    a header's cosine depends on the corpus it stands in. Ties go to the first name.
     """
     spark = found.sparkSession
     known = templates(spark)
     units = found.groupBy("u").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("files"))
     every = units.select("unit", "files").unionByName(known.select("unit", F.lit(1).cast("long").alias("files")))
-    total = every.agg(F.sum("files").alias("total"))
+    total = every.agg(F.sum("files").alias("total")).scalar()
     df = every.select("files", F.explode(F.array_distinct(terms(F.col("unit")))).alias("term")).groupBy("term").agg(F.sum("files").alias("df"))
-    # A single row of one number is joined to the terms.
-    idf = df.join(F.broadcast(total), F.lit(True)).select("term", (F.log((1.0 + F.col("total")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    idf = df.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     a = _weighted(units, "u", idf)
-    b = _weighted(known, "license", idf).withColumnRenamed("w", "v")
-    # The templates are a fixed list of a few hundred terms.
-    cosine = a.join(F.broadcast(b), "term").groupBy("u", "license").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).where(F.col("cosine") >= LEAST)
+    b = _weighted(known, "template", idf).withColumnRenamed("w", "v").join(F.broadcast(known.select("template", "license")), "template")
+    # The templates are a fixed list of under a thousand terms.
+    cosine = a.join(F.broadcast(b), "term").groupBy("u", "license", "template").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine")).where(F.col("cosine") >= LEAST)
     best = cosine.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
     return best.select("u", "best.license", (-F.col("best.less")).alias("cosine"))
 
@@ -94,7 +135,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
     license is that of the file's nearest header, null if none is near. A file without one inherits from
     the nearest directory, its own first, with a licence file that has one; of several there, the highest
-    cosine counts, then the first path. Null texts are empty; null paths are the root's; repeated rows
+    cosine counts, then the first path. Null texts are empty; null paths are the root's; a null id stays null; repeated rows
     keep a row each; files without any licence above them inherit null; extra columns are ignored.
     """
     rows = files.select(files[id_col].cast("long").alias("doc_id"), F.coalesce(files[path_col], F.lit("")).alias("path"), F.coalesce(files[text_col].cast("string"), F.lit("")).alias("text"))
