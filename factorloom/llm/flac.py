@@ -1,8 +1,8 @@
 """FLAC media columns: encode, decode with all checks, and PCM blocks with seekable sample offsets.
 
 All frames of a block of rows are worked on at once: predictors, Rice codes and checksums are numpy
-operations across frames. Streams have one 8-bit channel in blocks of 576 samples, and a seek point for
-every frame, so a reader can start at any block.
+operations across frames. Streams made here have one 8-bit channel in blocks of 576 samples, and a seek point
+for every frame, so a reader can start at any block. Those of other encoders are read frame by frame.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factorloom.llm.common import id_and_text, rows_to_batch, text_blocks
+from factorloom.llm.common import Scratch, id_and_text, rows_to_batch, text_blocks
 
 BLOCK = 576
 RATE = 8000
@@ -248,24 +249,25 @@ def _coefficients(flags: np.ndarray, first: np.ndarray, order: int) -> tuple[np.
 
 def _restore_fixed(warm: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Undo as many differences as there are warm-up samples."""
-    order = warm.shape[1]
+    order, kind = warm.shape[1], r.dtype
     firsts = []
     level = warm
     for _ in range(order):
         firsts.append(level[:, :1])
         level = np.diff(level, axis=1)
     for first in reversed(firsts):
-        r = np.cumsum(np.hstack([first, r]), axis=1, dtype=np.int32)
+        r = np.cumsum(np.hstack([first, r]), axis=1, dtype=kind)
     return r
 
 
 def _restore_linear(warm: np.ndarray, r: np.ndarray, taps: np.ndarray, shift: np.ndarray) -> np.ndarray:
     order = warm.shape[1]
-    out = np.empty((len(r), BLOCK), np.int64)
+    block = order + r.shape[1]
+    out = np.empty((len(r), block), np.int64)
     out[:, :order] = warm
-    for i in range(order, BLOCK):
+    for i in range(order, block):
         out[:, i] = r[:, i - order] + ((out[:, i - order : i][:, ::-1] * taps).sum(axis=1) >> shift)
-    return out.astype(np.int32)
+    return out.astype(r.dtype)
 
 
 def encode_linear_frame(samples: np.ndarray, number: int, taps: list[int], shift: int, rice: int, precision: int = 12) -> np.ndarray:
@@ -402,6 +404,211 @@ def decode_many(streams: list[bytes]) -> list[bytes]:
     return out
 
 
+# --- streams of other encoders, frame by frame ---
+
+
+@dataclass
+class Pcm:
+    """What STREAMINFO says of a stream: total 0 and a digest of zeros mean unknown."""
+
+    rate: int
+    channels: int
+    bits: int
+    total: int
+    digest: bytes
+    first: int  # the first frame's place
+    points: list[tuple[int, int]]  # samples and offsets of the seek table
+
+
+def stream_info(stream: bytes) -> Pcm:
+    if stream[:4] != b"fLaC":
+        raise Damaged("not a stream")
+    at, out, points = 4, None, []
+    while True:
+        kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4])
+        body = stream[at + 4 : at + 4 + size]
+        at += 4 + size
+        if kind & 0x7F == 0:
+            packed = int.from_bytes(body[10:18])
+            out = Pcm(packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, body[18:34], 0, points)
+        elif kind & 0x7F == 3:
+            table = np.frombuffer(body, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")]))
+            points += [(int(p["sample"]), int(p["offset"])) for p in table if p["count"]]
+        if kind & 0x80:
+            if out is None:
+                raise Damaged("no stream information")
+            out.first = at
+            return out
+
+
+class CutShort(Damaged):
+    """The bytes end before the frame does."""
+
+
+class Bits:
+    """A reader of one frame's bits."""
+
+    def __init__(self, data: np.ndarray):
+        self.flags = np.unpackbits(data)
+        self.ones, self.at = np.flatnonzero(self.flags), 0
+
+    def number(self, width: int, negative: bool = False) -> int:
+        if self.at + width > len(self.flags):
+            raise CutShort("frame cut short")
+        value = int("".join(map(str, self.flags[self.at : self.at + width].tolist())) or "0", 2)
+        self.at += width
+        return value - (1 << width) if negative and width and value >> (width - 1) else value
+
+    def zeros(self) -> int:
+        """The length of a run of zeros that a one ends."""
+        k = int(np.searchsorted(self.ones, self.at))
+        if k == len(self.ones):
+            raise CutShort("frame cut short")
+        count = int(self.ones[k]) - self.at
+        self.at += count + 1
+        return count
+
+
+# Fixed values of the format: block sizes and sample sizes of header codes; 0 is read elsewhere.
+_BLOCKS = (0, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
+_SIZES = (0, 8, 12, 0, 16, 20, 24, 32)
+#: Bytes of a sample that nearly all frames stay within.
+_USUAL_SAMPLE = 4
+
+
+def read_frame(stream: bytes, at: int, info: Pcm) -> tuple[np.ndarray, int, int]:
+    """(samples by channel, first sample's number or the frame's, next frame's place) of the frame at a place; both checksums are verified.
+
+    The number is that of a sample if the stream's blocks vary, else the frame's times its block size.
+    """
+    if at + 6 > len(stream) or int.from_bytes(stream[at : at + 2]) >> 1 != 0x7FFC:
+        raise Damaged("frame header")
+    varying, code, rate, layout, width = stream[at + 1] & 1, stream[at + 2] >> 4, stream[at + 2] & 15, stream[at + 3] >> 4, stream[at + 3] >> 1 & 7
+    lead = next((k for k in range(8) if not stream[at + 4] >> (7 - k) & 1), 8)
+    extra = max(lead - 1, 0)
+    if lead in (1, 8) or layout > 10 or width == 3 or code == 0:
+        raise Damaged("frame header")
+    number = stream[at + 4] & (0x7F >> lead)
+    for b in stream[at + 5 : at + 5 + extra]:
+        number = number << 6 | b & 0x3F
+    end = at + 5 + extra
+    block = _BLOCKS[code]
+    if code in (6, 7):
+        block = int.from_bytes(stream[end : end + code - 5]) + 1
+        end += code - 5
+    end += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    head = np.frombuffer(stream[at : end + 1], np.uint8)
+    if end >= len(stream) or int(crc8(head[None, :-1], np.array([len(head) - 1]))[0]) != head[-1]:
+        raise Damaged("frame header")
+    bits = _SIZES[width] or info.bits
+    channels = layout + 1 if layout < 8 else 2
+    most = channels * (block * _USUAL_SAMPLE + 64)
+    side = {8: 1, 9: 0, 10: 1}.get(layout)
+    while True:  # a frame has no stated size, and runs of zeros may be long
+        reader = Bits(np.frombuffer(stream[end + 1 : end + 1 + most], np.uint8))
+        try:
+            rows = np.stack([_subframe(reader, block, bits + (c == side)) for c in range(channels)])
+            break
+        except CutShort:
+            if end + 1 + most >= len(stream):
+                raise
+            most *= 4
+    if layout == 8:
+        rows[1] = rows[0] - rows[1]
+    elif layout == 9:
+        rows[0] += rows[1]
+    elif layout == 10:
+        middle = rows[0] << 1 | rows[1] & 1
+        rows = np.stack([(middle + rows[1]) >> 1, (middle - rows[1]) >> 1])
+    after = end + 1 + (reader.at + 7) // 8
+    frame = np.frombuffer(stream[at:after], np.uint8)
+    if after + 2 > len(stream) or int(crc16(frame, np.array([0]), np.array([len(frame)]))[0]) != int.from_bytes(stream[after : after + 2]):
+        raise Damaged("frame checksum")
+    return rows, number if varying else number * block, after + 2
+
+
+def _subframe(reader: Bits, block: int, bits: int) -> np.ndarray:
+    if reader.number(1):
+        raise Damaged("subframe")
+    kind = reader.number(6)
+    wasted = reader.zeros() + 1 if reader.number(1) else 0
+    bits -= wasted
+    if kind == CONSTANT:
+        out = np.full(block, reader.number(bits, True), np.int64)
+    elif kind == VERBATIM:
+        out = np.array([reader.number(bits, True) for _ in range(block)], np.int64)
+    elif FIXED <= kind <= FIXED + 4 or kind >= LPC:
+        order = kind - FIXED if kind < LPC else kind - LPC + 1
+        if order > block:
+            raise Damaged("predictor order")
+        warm = np.array([[reader.number(bits, True) for _ in range(order)]], np.int64)
+        if kind < LPC:
+            out = _restore_fixed(warm, _residual(reader, block, order)[None, :])[0]
+        else:
+            precision, shift = reader.number(4) + 1, reader.number(5, True)
+            if precision == 16 or shift < 0:
+                raise Damaged("predictor")
+            taps = np.array([[reader.number(precision, True) for _ in range(order)]], np.int64)
+            out = _restore_linear(warm, _residual(reader, block, order)[None, :], taps, np.array([shift]))[0]
+    else:
+        raise Damaged("subframe type")
+    return out.astype(np.int64) << wasted
+
+
+def _residual(reader: Bits, block: int, order: int) -> np.ndarray:
+    """Rice codes in 2 ** k partitions, each with a parameter of 4 or 5 bits, or plain numbers after the escape."""
+    method, parts = reader.number(2), 1 << reader.number(4)
+    if method > 1 or block % parts or block // parts < order:
+        raise Damaged("residual layout")
+    width, out = 4 + method, []
+    for p in range(parts):
+        count, k = block // parts - (order if p == 0 else 0), reader.number(width)
+        if k == (1 << width) - 1:
+            plain = reader.number(5)
+            out += [reader.number(plain, True) for _ in range(count)]
+            continue
+        for _ in range(count):
+            u = reader.zeros() << k
+            u |= reader.number(k)
+            out.append(u >> 1 ^ -(u & 1))
+    return np.array(out, np.int64)
+
+
+def pcm_bytes(rows: np.ndarray, bits: int) -> bytes:
+    """Interleaved signed samples, little-endian, in whole bytes: what the stream's digest is taken of."""
+    size = (bits + 7) // 8
+    return np.ascontiguousarray(rows.T).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def decode_blocks(stream: bytes, start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(sample offset, samples by channel) of each frame from the last seek point at or before `start`.
+
+    Read from the start, length and digest of the samples are verified as well, where the stream states them.
+    """
+    info = stream_info(stream)
+    sample, offset = max(((s, o) for s, o in info.points if s <= start), default=(0, 0))
+    at, seen, digest = info.first + offset, sample, hashlib.md5(usedforsecurity=False)
+    while at < len(stream):
+        rows, _, at = read_frame(stream, at, info)
+        yield seen, rows
+        seen += rows.shape[1]
+        if not sample:
+            digest.update(pcm_bytes(rows, info.bits))
+    if info.total and seen != info.total:
+        raise Damaged("length")
+    if not sample and any(info.digest) and digest.digest() != info.digest:
+        raise Damaged("digest of the samples")
+
+
+def is_own(stream: bytes) -> bool:
+    """Whether encode_many() could have made the stream: then all its frames are decoded at once."""
+    try:
+        read_metadata(stream)
+    except Damaged:
+        return False
+    return True
+
+
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every row's text as a FLAC stream; null and empty texts are one padded block."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
@@ -414,19 +621,39 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def pcm_blocks(table: DataFrame, frames: int = 64) -> DataFrame:
-    """(doc_id, sample_offset, samples, pcm): the decoded bytes of table(doc_id, media) in blocks of whole frames.
+    """(doc_id, sample_offset, samples, channels, bits, rate, pcm) of table(doc_id, media), in blocks of whole frames.
 
-    sample_offset is the first sample of a block, so a reader finds any sample by doc_id and offset.
+    sample_offset is the first sample of a block, so a reader finds any sample by doc_id and offset. Blocks of
+    own streams are the bytes they were made of; those of others are interleaved samples, little-endian. A damaged
+    stream raises Damaged; null media give no blocks.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("sample_offset", pa.int64()), ("samples", pa.int64()), ("pcm", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("sample_offset", "samples", "channels", "bits", "rate")), ("pcm", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, streams in text_blocks(batches, size=1 << 20):
-            for i, payload in zip(ids, decode_many(streams), strict=True):
-                step = frames * BLOCK
-                yield rows_to_batch([(i, at, len(payload[at : at + step]), payload[at : at + step]) for at in range(0, len(payload), step)], schema)
-
-    return table.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, samples long, pcm binary")
+            own = [k for k, x in enumerate(streams) if is_own(x)]
+            payloads = dict(zip(own, decode_many([streams[k] for k in own]), strict=True))
+            step = frames * BLOCK
+            for k, i in enumerate(ids):
+                if k in payloads:
+                    payload = payloads[k]
+                    yield rows_to_batch([(i, at, len(payload[at : at + step]), 1, 8, RATE, payload[at : at + step]) for at in range(0, len(payload), step)], schema)
+                    continue
+                info, held = stream_info(streams[k]), []
+                for offset, rows in decode_blocks(streams[k]):
+                    held.append((offset, rows))
+                    if len(held) == frames:
+                        yield rows_to_batch([_block_row(i, held, info)], schema)
+                        held = []
+                if held:
+                    yield rows_to_batch([_block_row(i, held, info)], schema)
+
+    return table.where("media is not null").select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, samples long, channels long, bits long, rate long, pcm binary")
+
+
+def _block_row(doc_id: int, held: list[tuple[int, np.ndarray]], info: Pcm) -> tuple:
+    rows = np.concatenate([r for _, r in held], axis=1)
+    return doc_id, held[0][0], rows.shape[1], info.channels, info.bits, info.rate, pcm_bytes(rows, info.bits)
 
 
 def describe(payload: bytes) -> str:
@@ -459,5 +686,9 @@ def digests(table: DataFrame) -> DataFrame:
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """The contract's digests of every text's FLAC form, encoded and read back."""
-    return digests(media(docs))
+    """The contract's digests of every text's FLAC form, stored as a table and read back.
+
+    One row for every row; null and empty texts are one padded block; repeated rows give equal rows; a null doc_id stays
+    null; an empty table gives no rows; extra columns are ignored.
+    """
+    return digests(Scratch(docs.sparkSession, "media").write(media(docs), "media"))
