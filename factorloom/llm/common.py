@@ -159,10 +159,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     """(id, component): the least id that each id of edges(a, b) reaches.
 
     Large-star and small-star contraction: every round is two aggregations by key with map-side
-    combining and two joins. The aggregates are written first, since adaptive execution splits a join's
-    large partitions only if both sides are plain; so a hub needs no task of its own. Each round's edges are
-    written, which also cuts lineage. Null ends are dropped; loops and repeats are harmless; no edges give no
-    rows.
+    combining and two joins. The least neighbours are written first, since adaptive execution splits a join's
+    large partitions only if both sides are plain; so a hub needs no task of its own, and after that join few
+    edges share an end. Each round's edges are written, which also cuts lineage. Null ends are dropped; loops
+    and repeats are harmless; no edges give no rows.
     """
     now = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct()
     table = scratch.write(now, "edges")
@@ -172,11 +172,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
             break
         both = table.select("u", "v").unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = scratch.write(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = scratch.write(small, "edges")
-        scratch.drop(table, least, large, low)
+        scratch.drop(table, least)
         table, before, mark = after, mark, _mark(after)
         if mark == before:
             break
