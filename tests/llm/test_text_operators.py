@@ -458,6 +458,39 @@ def test_words_inserted_on_either_side(spark):
         assert got[i]["spans"] == f"0:{len(t)}" and got[i]["class_id"] == i // 2 * 2
 
 
+def test_large_groups_lose_no_class():
+    """Windows of one key, half around a frequent line and half in families of edited copies, against all pairs."""
+    rng = np.random.default_rng(5)
+
+    def fresh(n):
+        return rng.integers(0, 2**32, n, dtype=np.uint32)
+
+    line, families = fresh(16), [fresh(70) for _ in range(4)]
+    codes, middles = [], []
+    for i in range(160):
+        ahead = int(rng.integers(10, 40))
+        inner = line if i % 2 else families[i % 4].copy()
+        if i % 2 == 0:
+            inner[rng.integers(0, 70, rng.integers(0, 6))] = fresh(1)
+            inner[35] = line[0]
+        codes.append(np.concatenate([fresh(ahead), inner, fresh(40)]))
+        middles.append(ahead + (0 if i % 2 else 35))
+
+    def similar(a, b):
+        return bool(passages.similar_parts(codes[a], codes[b]) or passages.similar_parts(codes[b], codes[a]))
+
+    def classes(pairs):
+        of = list(range(len(codes)))
+        for a, b in pairs:
+            if of[a] != of[b] and similar(a, b):
+                of = [min(of[a], of[b]) if x in (of[a], of[b]) else x for x in of]
+        return of
+
+    left, right = passages.alike(codes, np.array(middles))
+    want = classes([(a, b) for b in range(len(codes)) for a in range(b)])
+    assert classes(zip(left.tolist(), right.tolist(), strict=True)) == want and len(set(want)) < 120
+
+
 # --- BPE, packing ---
 
 
