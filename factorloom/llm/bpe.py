@@ -17,10 +17,11 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -28,6 +29,8 @@ from factorloom.llm.common import id_and_text, rows_to_batch, text_blocks
 
 #: Cached results of whole words and of neighbour checks; a full cache is emptied, so memory is bounded.
 CACHE_WORDS = 1_000_000
+#: The same for the library's ids of what stands between spaces, and the longest of these that are kept.
+CACHE_PARTS, LONG_PART = 400_000, 64
 CACHE_PAIRS = 400_000
 #: Bytes of a pre-token that are pushed at once.
 CHUNK = 1024
@@ -43,16 +46,24 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def specification(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def special_and_pattern(spec: dict) -> tuple[dict[str, int], str]:
+    """The special tokens' ids, and the expression of pre-tokens."""
+    return {t["content"]: t["id"] for t in spec["added_tokens"]}, next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+
+
 class MergeList:
     """Tokens as trees of merges: ranks, spines, and whether two neighbours stay apart."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        spec = specification(path)
         model = spec["model"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.special, self.pattern = special_and_pattern(spec)
         vocab: dict[str, int] = model["vocab"]
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.strings: list[str] = [""] * size
@@ -261,16 +272,21 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.normalizer, self.splitter, self.model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
-        self.merges = MergeList(path)
+        self.path = path
+        self.special, self.pattern = special_and_pattern(specification(path))
         self.characters = byte_characters()
         self.to_byte = {c: b for b, c in enumerate(self.characters)}
-        self.piece = regex.compile(self.merges.pattern)
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
+        self.piece = regex.compile(self.pattern)
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
         alike = [c for c in map(chr, range(FIRST_COMBINING)) if self._alike(c)]
         #: A character that the two libraries may class or lower-case otherwise than Python does.
         self.odd = re.compile("[^" + re.escape("".join(alike)) + "]")
 
+    @cached_property
+    def merges(self) -> MergeList:
+        return MergeList(self.path)
+
     def _alike(self, c: str) -> bool:
         probe = f"a{c}a{c}1{c}.{c}{c} {c}"
         return self._by_library(probe) == self.piece.findall(probe.lower())
@@ -308,14 +324,17 @@ class Encoder:
             return self._by_library(text)
         return self.piece.findall(text.lower())
 
+    def _has_special(self, text: str) -> bool:
+        return self.specials is not None and "<" in text and self.specials.search(text) is not None
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         parts: list[list[list[str] | bytes]] = []
         for text in texts:
-            if self.specials is None or "<" not in text or not self.specials.search(text):
+            if not self._has_special(text):
                 parts.append([self._pieces(text)])
             else:
-                parts.append([_packed([self.merges.special[x]]) if x in self.merges.special else self._pieces(x) for x in self.specials.split(text)])
+                parts.append([_packed([self.special[x]]) if x in self.special else self._pieces(x) for x in self.specials.split(text)])
         seen = {p for row in parts for x in row if isinstance(x, list) for p in x}
         new = seen.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -330,13 +349,77 @@ class Encoder:
 
 
 class LibraryEncoder(Encoder):
-    """The same texts to the same ids, with the tokenizers library's own model for new pre-tokens."""
+    """The same texts to the same ids, with the tokenizers library's own model for new pre-tokens.
+
+    Under a pattern that neither holds nor looks over white space, the texts of a block are parted at spaces by Arrow, and
+    each distinct part is looked up once in a block; its pre-tokens are sought only when it is new.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.parts, self.earlier = {}, {}
 
     def _learn(self, pieces: set[str]) -> None:
-        tokenize, characters = self.model.tokenize, self.characters
         for piece in pieces:
-            mapped = piece if piece.isascii() and piece.isprintable() else "".join([characters[b] for b in piece.encode()])
-            self.known[piece] = _packed([t.id for t in tokenize(mapped)])
+            self.known[piece] = self._ids(piece)
+
+    def _ids(self, piece: str) -> bytes:
+        characters = self.characters
+        mapped = piece if piece.isascii() and piece.isprintable() else "".join([characters[b] for b in piece.encode()])
+        return _packed([t.id for t in self.model.tokenize(mapped)])
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a lower-case text without spaces. Full caches are put by, and what is asked for again comes back."""
+        found = self.earlier.get(part)
+        if found is None:
+            pieces = [part] if part.isascii() and part.isalpha() else self.piece.findall(part)
+            found = self._ids(pieces[0]) if len(pieces) == 1 else b"".join([self.parts.get(x) or self._part(x) for x in pieces])
+        if len(part) <= LONG_PART:
+            if len(self.parts) >= CACHE_PARTS // 2:
+                self.earlier, self.parts = self.parts, {}
+            self.parts[part] = found
+        return found
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(_marks_apart(pa.array([x.lower() for x in texts], pa.large_string())))
+        coded = split.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        ids = [self.parts.get(x) or self._part(x) for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        out = flat[np.repeat(starts[which] - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [out[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        plain = [self.pattern in BETWEEN_SPACE and not self.odd.search(x) and not self._has_special(x) for x in texts]
+        found = iter(self._by_parts([x for x, p in zip(texts, plain, strict=True) if p]))
+        others = iter(super().encode_many([x for x, p in zip(texts, plain, strict=True) if not p]))
+        if len(self.known) > CACHE_PARTS // 2:
+            self.known.clear()
+        return [next(found if p else others) for p in plain]
+
+    def rest(self) -> None:
+        """Give memory back between tasks: a worker that waits holds half a cache at most."""
+        self.earlier = {}
+        self.known.clear()
+
+
+#: Patterns whose pre-tokens hold no white space and do not depend on any.
+BETWEEN_SPACE = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def _marks_apart(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """A space before each comma and full stop that is a pre-token by itself, between a letter and white space; so there are fewer distinct parts."""
+    _, offsets, data = texts.buffers()
+    body, bounds = np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int64)
+    at = 1 + np.flatnonzero((body[1:-1] == ord(",")) | (body[1:-1] == ord(".")))
+    at = at[(body[at - 1] >= ord("a")) & (body[at - 1] <= ord("z")) & ((body[at + 1] == ord(" ")) | (body[at + 1] == ord("\n")))]
+    if not len(at):
+        return texts
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds + np.searchsorted(at, bounds)), pa.py_buffer(np.insert(body, at, ord(" "))))
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -170,7 +170,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
         task = TaskContext.get().partitionId()
         out = Writer(task << 32, step_tokens)
         packer, machine, tail = Packer(tiers, out.window), library_encoder(path), np.array([end_id], "<u4").tobytes()
-        for doc_ids, texts in text_blocks(batches):
+        for doc_ids, texts in text_blocks(batches, 1024):
             for doc_id, encoded in zip(doc_ids, machine.encode_many(texts), strict=True):
                 ids = np.frombuffer(encoded + tail, "<u4")
                 packer.add(doc_id, 0, len(ids), ids)

@@ -523,6 +523,24 @@ def test_bpe_splits_like_the_library_at_every_kind_of_character(library):
             assert np.frombuffer(machine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(code)
 
 
+def test_library_encoder_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok, machine = Tokenizer.from_file(vocabulary()), bpe.LibraryEncoder(vocabulary())
+    assert "merges" not in vars(machine)  # packing needs no merge list of its own
+    monkeypatch.setattr(bpe, "CACHE_PARTS", 60)
+    rng = random.Random(5)
+    marks = ["a\x1cb", "!\x1c!", "x\xa0y", "\xa0", "\x85'", "it's", "''s", "don'T!", "4a4", "<|endoftext|>", "\u4e2d\u6587", "e\u0301", "\r\n\t", " ", "\x0b", "stra\xdfe,", "<|", "z" * 99, "it, ", "a.\n", "!, ", "b.", ", "]
+    texts = ["", " ", "\n a"] + ["".join(rng.choice([*marks, f"w{rng.randrange(999)} ", "the "]) for _ in range(40)) for _ in range(200)]
+    for at in range(0, len(texts), 50):
+        for text, ids in zip(texts[at : at + 50], machine.encode_many(texts[at : at + 50]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert len(machine.parts) + len(machine.earlier) + len(machine.known) <= 90
+    machine.rest()
+    assert len(machine.parts) + len(machine.earlier) + len(machine.known) <= 30
+
+
+
 def test_bpe_emits_within_the_lookahead(library):
     merges, rng = bpe.encoder(vocabulary()).merges, random.Random(3)
     assert merges.lookahead == merges.sufficient_lookahead() > merges.longest
