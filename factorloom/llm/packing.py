@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.bpe import library_encoder
-from factorloom.llm.common import Scratch, id_and_text, text_blocks
+from factorloom.llm.common import Scratch, id_and_text, release_memory, text_blocks
 
 #: Rests held by a task before it packs them, so that gaps find good fits.
 POOL = 2048
@@ -170,6 +170,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
         task = TaskContext.get().partitionId()
         out = Writer(task << 32, step_tokens)
         packer, machine, tail = Packer(tiers, out.window), library_encoder(path), np.array([end_id], "<u4").tobytes()
+        release_memory()
         for doc_ids, texts in text_blocks(batches, 1024):
             for doc_id, encoded in zip(doc_ids, machine.encode_many(texts), strict=True):
                 ids = np.frombuffer(encoded + tail, "<u4")
@@ -181,6 +182,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
         for r in packer.rest():
             out.open(r, task)
         yield from out.batches(1)
+        machine.rest()
+        release_memory()
 
     def second(key: tuple, table: pa.Table) -> pa.Table:
         out = Writer(SECOND | key[0].as_py() << 32, step_tokens)

@@ -595,6 +595,21 @@ def test_packing(docs, body, library):
     assert odd <= 1 and pieces[0] == [(0, 1)]
 
 
+def test_packing_leaves_no_words_in_workers(spark):
+    rows = [(i, f"plain text {i} \u4e2d\u6587{i}") for i in range(400)] + [(i, f"word{i} and so on") for i in range(400, 800)]
+    assert packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), vocabulary()).count() >= 800
+
+    def held(batches):
+        import pyarrow as pa
+
+        machine = bpe.library_encoder(vocabulary())
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(machine.known) + len(machine.earlier)], pa.int64())})
+
+    assert sum(r["n"] for r in spark.range(80).repartition(8).mapInArrow(held, "n long").collect()) == 0
+
+
 # --- personal data ---
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
