@@ -500,6 +500,30 @@ def test_large_groups_lose_no_class():
     assert classes(zip(left.tolist(), right.tolist(), strict=True)) == want and len(set(want)) < 120
 
 
+def test_pairs_of_a_family_grow_with_its_size():
+    """Edited copies of one passage in one group: few pairs, which give one class and cover what any pair covers."""
+    rng = np.random.default_rng(9)
+    passage = rng.integers(0, 2**32, 150, dtype=np.uint32)
+    codes = []
+    for _ in range(200):
+        one, at = passage.copy(), int(rng.integers(0, 140))
+        if not 70 < at < 80:
+            one[at : at + 5] = rng.integers(0, 2**32, 5, dtype=np.uint32)
+        codes.append(one)
+    left, right = passages.alike(codes, np.full(200, 75))
+    assert len(left) < 3 * len(codes)
+    of, spans = list(range(200)), [set() for _ in codes]
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        for s, e, s2, e2 in passages.similar_parts(codes[a], codes[b]):
+            of = [min(of[a], of[b]) if x in (of[a], of[b]) else x for x in of]
+            spans[a] |= set(range(s, e + 1))
+            spans[b] |= set(range(s2, e2 + 1))
+    assert set(of) == {0}
+    for a in range(0, 200, 20):
+        every = [(s, e) for b in range(200) if a != b for s, e, _, _ in passages.similar_parts(codes[a], codes[b])]
+        assert spans[a] >= {x for s, e in every for x in range(s, e + 1)}
+
+
 # --- BPE, packing ---
 
 
