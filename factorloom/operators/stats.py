@@ -97,7 +97,8 @@ def formula_moments(df: DataFrame, formulas: list[str], columns: dict[str, Colum
     Every partition evaluates all formulas on Arrow batches, shares subtrees between them, and centres its
     sums on its own means; they are merged exactly around the common mean. No values leave the executors: the
     driver gets one row for each formula. Fingerprints are the standardised values' products with WEIGHTS
-    random weights of the row keys: equal for equal values up to a positive scale and shift.
+    random weights of the row keys: equal for equal values up to a positive scale and shift. They are divided by
+    the root of the number of values, so their differences are of the size of those of the values in tables of any size.
     """
     names = list(columns)
     flag = (where if where is not None else F.lit(True)).cast("boolean")
@@ -173,7 +174,7 @@ def formula_moments(df: DataFrame, formulas: list[str], columns: dict[str, Colum
     sx, sy = np.sqrt(np.maximum(out["xx"], 0) / np.maximum(out["n"], 1)), np.sqrt(np.maximum(out["yy"], 0) / np.maximum(out["n"], 1))
     usable = (out["n"] >= 3) & (sx > TINY) & (sy > TINY)
     signed = np.where(usable, out["xy"] / np.where(usable, np.sqrt(out["xx"] * out["yy"]), 1), 0.0)
-    prints = {f"print{j}": np.where(sd > TINY, out[f"v{j}"] / np.where(sd > TINY, np.maximum(out["valid"], 1) * sd, 1), np.nan) for j in range(WEIGHTS)}
+    prints = {f"print{j}": np.where(sd > TINY, out[f"v{j}"] / np.where(sd > TINY, np.sqrt(np.maximum(out["valid"], 1)) * sd, 1), np.nan) for j in range(WEIGHTS)}
     return pd.DataFrame({"formula": formulas, "n": out["n"].astype(int), "rows": out["rows"].astype(int), "valid": out["valid"].astype(int), "mean": out["mean"], "std": sd, "top": out["top"], "score": np.abs(signed), "signed": signed, **prints})
 
 

@@ -223,3 +223,12 @@ def test_bootstrap_by_group(spark):
         assert r["n"] == len(v) and r["mean"] == pytest.approx(v.mean())
         assert 1.3 < (r["mean"] - r["low"]) / error < 2.7 and 1.3 < (r["high"] - r["mean"]) / error < 2.7
     assert stats.bootstrap_by_weights(df.limit(0), F.col("v"), F.col("i")).first()["low"] is None
+
+
+def test_nearly_equal_values_stay_apart_in_long_tables(spark):
+    """Fingerprints don't shrink with the table: values that differ by 1e-5 of their spread are two, however many rows there are."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    df = spark.createDataFrame(pd.DataFrame({"i": range(n), "a": rng.normal(size=n), "b": rng.normal(size=n), "y": rng.normal(size=n)})).repartition(4)
+    found, _ = mine.mine(df, {"a": F.col("a"), "c": F.col("a") + 1e-5 * F.col("b"), "d": F.col("a") * 3 + 1}, F.col("y"), F.col("i"), mine.Options(max_order=0))
+    assert {c.expression for c in found} == {"a", "c"}
