@@ -236,11 +236,13 @@ def summarise(df: DataFrame, draws: int = 2000, seed: int = 0) -> dict[str, Any]
 def group_intervals(df: DataFrame, by: list[str], draws: int = 200, seed: int = 0) -> DataFrame:
     """(by, dimension, n, mean, low, high): means of each dimension and overall with bootstrap intervals, for tables of any size.
 
-    A rating's weights depend on its rater and item alone, so its dimensions are resampled together.
+    A rating's weights depend on its rater, item and values, so its dimensions are resampled together. Equal ratings
+    are one row that stands for all; each of them has a weight of its own, and so have several of one rater and item.
     """
+    equal = df.groupBy(*by, "rater_id", "item_id", *DIMENSIONS).agg(F.count(F.lit(1)).alias("copies")).withColumn("overall", overall())
     measures = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in (*DIMENSIONS, "overall")))
-    long = df.withColumn("overall", overall()).select(*by, F.struct("rater_id", "item_id").alias("key"), F.explode(measures).alias("m")).select(*by, "key", "m.*")
-    return stats.bootstrap_by_weights(long, F.col("value"), F.col("key"), draws, seed, [*by, "dimension"])
+    long = equal.select(*by, "copies", F.struct("rater_id", "item_id", *DIMENSIONS).alias("key"), F.explode(measures).alias("m")).select(*by, "copies", "key", "m.*")
+    return stats.bootstrap_by_weights(long, F.col("value"), F.col("key"), draws, seed, [*by, "dimension"], F.col("copies"))
 
 
 def item_means(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -377,13 +378,23 @@ def bootstrap_interval(values: np.ndarray, draws: int = 2000, seed: int = 0) ->
     return float(low), float(high)
 
 
-def bootstrap_by_weights(df: DataFrame, value: Column, key: Column, draws: int = 200, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+def _poisson_edges(mean: int) -> tuple[int, np.ndarray]:
+    """The least weight and the distribution function from it on; what lies 12 spreads away is left out."""
+    low, high = max(0, int(mean - 12 * mean**0.5)), int(mean + 12 * mean**0.5 + 20)
+    counts = np.arange(low, high + 1)
+    steps = np.log(mean) - np.log(np.maximum(counts[1:], 1))
+    return low, np.cumsum(np.exp(low * math.log(mean) - mean - math.lgamma(low + 1) + np.append(0.0, np.cumsum(steps))))
+
+
+def bootstrap_by_weights(df: DataFrame, value: Column, key: Column, draws: int = 200, seed: int = 0, by: list[str] | None = None, copies: Column | None = None) -> DataFrame:
     """(by, n, mean, low, high) of the mean for tables of any size: each row has a Poisson weight of its key in each draw.
 
-    A task adds up two vectors of `draws` sums for each group; no row is repeated.
+    A row that stands for several, as copies says, has the sum of as many weights. A task adds up two vectors
+    of `draws` sums for each group; no row is repeated.
     """
     names = by or []
-    rows = df.select(*names, value.cast("double").alias("v"), F.xxhash64(F.lit(seed), key).alias("k")).where("v is not null and not isnan(v)")
+    many = copies if copies is not None else F.lit(1)
+    rows = df.select(*names, value.cast("double").alias("v"), F.xxhash64(F.lit(seed), key).alias("k"), many.cast("long").alias("c")).where("v is not null and not isnan(v)")
     edges = np.cumsum(np.exp(-1.0) / np.cumprod(np.append(1.0, np.arange(1, 9))))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.select(*names).dtypes), "draw int", "w double", "wv double", "n long", "s double"])
 
@@ -391,12 +402,13 @@ def bootstrap_by_weights(df: DataFrame, value: Column, key: Column, draws: int =
         held: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
             frame = batch.to_pandas()
-            for name, part in frame.groupby(names, dropna=False) if names else [((), frame)]:
-                v, keys = part["v"].to_numpy(), part["k"].to_numpy().astype(np.uint64)
-                sums = held.setdefault(tuple(name), [np.zeros(draws), np.zeros(draws), np.zeros(2)])
-                sums[2] += len(v), v.sum()
+            for name, part in frame.groupby([*names, "c"], dropna=False):
+                v, keys, c = part["v"].to_numpy(), part["k"].to_numpy().astype(np.uint64), int(name[-1])
+                least, until = (0, edges) if c == 1 else _poisson_edges(c)
+                sums = held.setdefault(tuple(name[:-1]), [np.zeros(draws), np.zeros(draws), np.zeros(2)])
+                sums[2] += c * len(v), c * v.sum()
                 for j in range(draws):
-                    weight = np.searchsorted(edges, (_weights(keys, j) + 1.0) / 2.0, side="right")
+                    weight = least + np.searchsorted(until, (_weights(keys, j) + 1.0) / 2.0, side="right")
                     sums[0][j] += weight.sum()
                     sums[1][j] += weight @ v
         for name, (w, wv, total) in held.items():

@@ -562,7 +562,7 @@ def bootstrap(spark, sf_dir):
 def rating_intervals(spark, sf_dir):
     """Means of each dimension by group, each inside its bootstrap interval."""
     got = ratings.group_intervals(rated(spark, sf_dir), ["grp"], draws=100)
-    return got.select("grp", "dimension", "n", F.round("mean", 6).alias("mean"), (F.col("mean").between(F.col("low"), F.col("high")) & (F.col("high") > F.col("low"))).alias("inside"))
+    return got.select("grp", "dimension", "n", F.round("mean", 6).alias("mean"), (F.col("mean").between(F.col("low"), F.col("high")) & ((F.col("high") > F.col("low")) | (F.col("n") == 1))).alias("inside"))
 
 
 @query("rating_candidates", "SELECT formula, method, seed, task_context, dataset_label, '[0,' || CAST(b AS INTEGER) || ']' AS first_range FROM (SELECT 'e' || l_linenumber AS formula, l_returnflag AS method, l_partkey AS seed, 'Find the relation behind the target y. Domain: ' || s_name || '.' AS task_context, 'task_' || substr(CAST(l_suppkey AS VARCHAR), 1, 3) AS dataset_label, s_nationkey AS b, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_partkey, 'e' || l_linenumber) AS n FROM (SELECT DISTINCT l_suppkey, l_returnflag, l_partkey, l_linenumber FROM lineitem WHERE l_linenumber <> 1) JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> 3) WHERE n = 1")

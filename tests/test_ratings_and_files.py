@@ -3,6 +3,7 @@
 import json
 import urllib.error
 
+import numpy as np
 import pytest
 
 from factorloom.operators import ratings
@@ -124,3 +125,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert best["status"] == "success" and best["best_r2"] > 0.9
     assert cli.main(["expression-similarity", "--pred", "a+b", "--truth", "b+a"]) == 0
     capsys.readouterr()
+
+
+def test_intervals_where_each_item_has_all_ratings_alike(spark):
+    """Each rater and item has every value equally often, so intervals by item would have no width; each rating has a weight of its own."""
+    rows = [("r", f"i{i % 4}", *(float((k + i % 4) % 5 + 1) for k in (i // 4, i // 8, i // 4 + 1, 2 * (i // 4)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, ["rater_id", "item_id", *ratings.DIMENSIONS]).repartition(3)
+    got = {r["dimension"]: r for r in ratings.group_intervals(df, ["rater_id"], 200).collect()}
+    for at, d in enumerate(ratings.DIMENSIONS):
+        v = np.array([r[2 + at] for r in rows])
+        error = v.std() / np.sqrt(len(v))
+        assert got[d]["n"] == len(v) and got[d]["mean"] == pytest.approx(v.mean())
+        assert 1.3 < (v.mean() - got[d]["low"]) / error < 2.7 and 1.3 < (got[d]["high"] - v.mean()) / error < 2.7
