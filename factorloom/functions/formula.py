@@ -269,43 +269,61 @@ def _function(node: Node, functions: Mapping[str, tuple], shadow: Iterable[str])
     return found
 
 
+def _build(node: Node, columns: Mapping[str, np.ndarray], functions: Mapping[str, tuple], params, memo: dict):
+    # Not a closure that calls itself: such a cycle would hold memo's values until the garbage collector comes round.
+    if node in memo:
+        return memo[node]
+    kind = node[0]
+    if kind == "num":
+        return node[1]
+    if kind == "name":
+        if node[1] in columns:
+            return columns[node[1]]
+        if node[1] in CONSTANTS:
+            return CONSTANTS[node[1]]
+        raise FormulaError(f"unknown name {node[1]}")
+    if kind == "param":
+        return float(params[node[1]])
+    if kind == "neg":
+        out = -_build(node[1], columns, functions, params, memo)
+    elif kind == "bin":
+        a, b = (_build(x, columns, functions, params, memo) for x in node[2:4])
+        op = node[1]
+        if op == "/":
+            out = np.where(np.asarray(b) == 0, np.nan, np.divide(a, np.where(np.asarray(b) == 0, 1.0, b)))
+        else:
+            out = a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else np.power(np.asarray(a, float), b)
+    else:
+        out = _function(node, functions, columns)[1](*(_build(x, columns, functions, params, memo) for x in node[2]))
+    memo[node] = out
+    return out
+
+
 def evaluate(text: str | Node, columns: Mapping[str, np.ndarray], rows: int, functions: Mapping[str, tuple] = FUNCTIONS, params=None, memo: dict | None = None) -> np.ndarray:
     """The same in numpy, over `rows` values; not finite is NaN. memo shares subtrees between formulas."""
     memo = {} if memo is None else memo
 
-    def build(node: Node):
-        if node in memo:
-            return memo[node]
-        kind = node[0]
-        if kind == "num":
-            return node[1]
-        if kind == "name":
-            if node[1] in columns:
-                return columns[node[1]]
-            if node[1] in CONSTANTS:
-                return CONSTANTS[node[1]]
-            raise FormulaError(f"unknown name {node[1]}")
-        if kind == "param":
-            return float(params[node[1]])
-        if kind == "neg":
-            out = -build(node[1])
-        elif kind == "bin":
-            a, b = build(node[2]), build(node[3])
-            op = node[1]
-            if op == "/":
-                out = np.where(np.asarray(b) == 0, np.nan, np.divide(a, np.where(np.asarray(b) == 0, 1.0, b)))
-            else:
-                out = a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else np.power(np.asarray(a, float), b)
-        else:
-            out = _function(node, functions, columns)[1](*(build(x) for x in node[2]))
-        memo[node] = out
-        return out
-
     with np.errstate(all="ignore"):
-        out = np.broadcast_to(np.asarray(build(parse(text) if isinstance(text, str) else text), float), (rows,))
+        out = np.broadcast_to(np.asarray(_build(parse(text) if isinstance(text, str) else text, columns, functions, params, memo), float), (rows,))
     return np.where(np.isfinite(out), out, np.nan)
 
 
+def last_uses(trees: list[Node]) -> list[set[Node]]:
+    """For each tree its subtrees that no later one has."""
+    seen: set[Node] = set()
+    out = []
+    for tree in reversed(trees):
+        mine, todo = set(), [tree]
+        while todo:
+            node = todo.pop()
+            if node not in seen:
+                seen.add(node)
+                mine.add(node)
+                todo += {"neg": node[1:2], "bin": node[2:4]}.get(node[0], node[2] if node[0] == "call" else ())
+        out.append(mine)
+    return out[::-1]
+
+
 # --- canonical trees ---
 
 #: Functions that are powers or products in canonical form.

@@ -105,6 +105,7 @@ def formula_moments(df: DataFrame, formulas: list[str], columns: dict[str, Colum
     flag = (where if where is not None else F.lit(True)).cast("boolean")
     base = df.select(*(c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())), y.cast("double").alias("y"), F.coalesce(flag, F.lit(False)).alias("m"), F.xxhash64(row_key).alias("k"))
     trees = [formula.parse(t) for t in formulas]
+    ends = formula.last_uses(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Huge values overflow their squares; such formulas are dropped by their reach later.
@@ -126,6 +127,8 @@ def formula_moments(df: DataFrame, formulas: list[str], columns: dict[str, Colum
                 memo: dict = {}
                 for i, tree in enumerate(trees):
                     x = formula.evaluate(tree, values, rows, memo=memo)
+                    for node in ends[i]:  # memory holds what later formulas share, whatever their number
+                        memo.pop(node, None)
                     fine = np.isfinite(x)
                     s["rows"][i] += rows
                     count = int(fine.sum())

@@ -1,4 +1,6 @@
+import gc
 import math
+import weakref
 
 import numpy as np
 import pytest
@@ -78,3 +80,18 @@ def test_names():
     assert f.variables("2.5e-05 * x + pi") == ["x"]
     assert f.rename("a + ab", {"a": "z"}) == "(z + ab)"
     assert f.operators("a - b^2") == {"-", "**"}
+
+
+def test_evaluation_holds_no_values_afterwards():
+    """Memory of shared subtrees goes with memo, not when the garbage collector comes round; last_uses tells when one is done with."""
+    trees = [f.parse(t) for t in ("a + b", "(a + b) * a", "-(a + b)", "square(a)")]
+    assert [trees[0] in ends for ends in f.last_uses(trees)] == [False, False, True, False]
+    memo = {}
+    gc.disable()
+    try:
+        f.evaluate(trees[1], {"a": np.arange(9.0), "b": np.ones(9)}, 9, memo=memo)
+        held = weakref.ref(memo[trees[0]])
+        del memo
+        assert held() is None
+    finally:
+        gc.enable()
