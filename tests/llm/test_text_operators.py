@@ -436,6 +436,30 @@ def test_similar_parts_at_the_limit():
 
 
 
+def test_stretches_against_all_starts_and_ends():
+    """Also those that are taken as a whole at once, with places around them or none, are the longest with a score of 0 or more."""
+    rng = np.random.default_rng(31)
+
+    def brute(hit, lo, hi):
+        score = np.where(hit[lo:hi], 1, -8).cumsum()
+        total = np.append(0, score)
+        best = max(((e - s, -e, s) for s in range(hi - lo) for e in range(s + 1, hi - lo + 1) if total[e] >= total[s]), default=None)
+        if best is None or best[0] < passages.LEAST:
+            return []
+        inside = lo + best[2] + np.flatnonzero(hit[lo + best[2] : lo - best[1]])
+        s, e = int(inside[0]), int(inside[-1])
+        return [*([(s, e)] if e - s + 1 >= passages.LEAST else []), *brute(hit, lo, s), *brute(hit, e + 1, hi)]
+
+    found = 0
+    for _ in range(60):
+        hit = np.repeat(rng.random(8) < 0.7, 18) & (rng.random(144) < rng.choice([0.9, 0.95, 1.0]))
+        hit = hit[: rng.integers(50, 145)]
+        got = passages._stretches(np.flatnonzero(hit), len(hit))
+        assert sorted(got) == sorted(brute(hit, 0, len(hit)))
+        found += len(got)
+    assert found > 20
+
+
 def test_passages_of_awkward_rows(spark):
     """Repeated words, very long texts, null ids, repeated rows and clashing names."""
     rng = random.Random(6)
